@@ -152,3 +152,23 @@ def list_column(values: np.ndarray, lengths: np.ndarray, kind: pa.DataType) -> p
     """List column from flat values and list lengths."""
     off = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(off), pa.array(values, kind))
+
+
+def fresh(name: str, taken: list[str]) -> str:
+    """`name`, or with underscores in front so that it clashes with no column."""
+    low = {c.lower() for c in taken}
+    while name.lower() in low:
+        name = "_" + name
+    return name
+
+
+def annotate(df: DataFrame, fn: Callable[[pa.RecordBatch], list[pa.Array]], fields: dict[str, str], text: str = "text") -> tuple[DataFrame, dict[str, str]]:
+    """`df` with columns that `fn` gives for each chunk, and the names that they got."""
+    names = {c: fresh(c, df.columns) for c in fields}
+    own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+    schema = own + "".join(f", `{names[c]}` {kind}" for c, kind in fields.items())
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*batch.columns, *fn(batch)], [*batch.schema.names, *names.values()])
+
+    return map_texts(df, run, schema, text), names
