@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .store import table
 
 
+def held_out(modulus: int, remainder: int) -> Column:
+    """Does the CRC-32 of the id's text leave the remainder?"""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus == remainder, F.lit(False))
+
+
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose 4-word shingle sets have a Jaccard of 0.85 or more."""
     from .op02_parity import jaccard_classes
@@ -22,7 +28,16 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(docs, table(spark, sf_dir, "benchmark"), width=10)[0].drop("text")
 
 
-QUERIES = {"op5_decontaminate": op5_decontaminate, "op2_ngram_jaccard": op2_ngram_jaccard}
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document, learned from two thirds of the ids."""
+    from .op06_language import predict, train
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", held_out(3, 1))
+    parser = train(docs.where("not held_out").select("doc_id", "text", "lang"))
+    return predict(docs.select("doc_id", "text", "held_out"), parser)[0].drop("text")
+
+
+QUERIES = {"op6_language": op6_language, "op5_decontaminate": op5_decontaminate, "op2_ngram_jaccard": op2_ngram_jaccard}
 
 _LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = "regexp_extract_all(" + _LOWER.format("coalesce(text, '')") + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
