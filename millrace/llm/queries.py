@@ -51,7 +51,25 @@ def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_labels(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op7_pii": op7_pii, "op8_licenses": op8_licenses, "op6_language": op6_language, "op5_decontaminate": op5_decontaminate, "op2_ngram_jaccard": op2_ngram_jaccard}
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document, learned from labels of two thirds of the ids."""
+    from .op10_quality import fit, score
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rules = fit(docs, table(spark, sf_dir, "labels").where(~held_out(3, 1)))
+    return score(docs.withColumn("held_out", held_out(3, 1)), rules).drop("text")
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned from labels of four fifths of the ids."""
+    from .op09_toxicity import fit, score
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    grammar = fit(docs, table(spark, sf_dir, "labels").where(~held_out(5, 0)))
+    return score(docs.withColumn("held_out", held_out(5, 0)), grammar).drop("text")
+
+
+QUERIES = {"op9_toxicity": op9_toxicity, "op10_quality": op10_quality, "op7_pii": op7_pii, "op8_licenses": op8_licenses, "op6_language": op6_language, "op5_decontaminate": op5_decontaminate, "op2_ngram_jaccard": op2_ngram_jaccard}
 
 _LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = "regexp_extract_all(" + _LOWER.format("coalesce(text, '')") + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"

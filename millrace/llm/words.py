@@ -106,6 +106,26 @@ class Words:
             np.cumsum((self.bytes.astype(np.uint64) + np.uint64(1)) * _power(_P, n, "p"), out=sums[1:])
             return mix((sums[self.end] - sums[self.start]) * _power(_P_INV, n, "inv")[self.start])
 
+    def prefix_hashes(self, sizes: list[int]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each size: numbers of the words with so many code points or more, and the hash of that prefix."""
+        n = len(self.bytes)
+        if not len(self.start):
+            return [(np.zeros(0, np.int64), np.zeros(0, np.uint64)) for _ in sizes]
+        lead = (self.bytes & 0xC0) != 0x80
+        point = np.concatenate([[0], np.cumsum(lead)])
+        where = np.append(np.flatnonzero(lead), n)
+        first, length = point[self.start], point[self.end] - point[self.start]
+        with np.errstate(over="ignore"):
+            sums = np.zeros(n + 1, np.uint64)
+            np.cumsum((self.bytes.astype(np.uint64) + np.uint64(1)) * _power(_P, n, "p"), out=sums[1:])
+            back = _power(_P_INV, n, "inv")
+            out = []
+            for size in sizes:
+                at = np.flatnonzero(length >= size)
+                s = self.start[at]
+                out.append((at, mix(((sums[where[first[at] + size]] - sums[s]) * back[s]) ^ np.uint64(size))))
+        return out
+
     def grams(self, k: int, h: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Hash of each run of k words within a text, and the number of its first word."""
         h = self.hashes() if h is None else h
