@@ -15,13 +15,15 @@ that come first in a fixed order of block contents (lightest first) and still
 share a kept block with each partner. Equal kept blocks meet in a shuffle on
 the block's key.
 
-Links within a bucket aren't expanded into all pairs: each bucket's hub (its
-smallest id) is verified against its members, components are joined, and only
-buckets whose other members still lie in different components go on, with a
-next hub, until none is left. So each link between different components is
-found, and copies cost one row each per bucket. Pairs first pass the length
-bound and the Hamming bound of a small sketch and are then verified on the full
-shingle sets (64-bit hashes).
+Texts with the same set (equal size and 128-bit fingerprint) are one node from
+the start, so copies cost nothing beyond their own signatures. Links within a
+bucket aren't expanded into all pairs: first each bucket's hub (smallest under
+one of `HUB_SEEDS` hashes) is verified against its members and components are
+joined. Buckets whose members then still lie in different components are searched
+exhaustively, but inside numpy on the sketches: only pairs of different
+components that pass the length bound and the Hamming bound come out as rows, to
+be verified on the full shingle sets (64-bit hashes). So each link between
+different components is found.
 
 Edge cases: null ids get a null component; a row repeated with the same id is
 one node and is returned as often as it came; extra columns are ignored; an
@@ -40,7 +42,7 @@ from .components import connect
 from .store import Workspace
 from .words import NOT_SPACE, Words, list_column, map_texts, mix, text_bytes
 
-SKETCH_BITS = 512
+HUB_SEEDS = 8
 BLOCK_BITS = 16
 
 
@@ -115,11 +117,27 @@ def block_keys(g: np.ndarray, text: np.ndarray, size: np.ndarray, group: np.ndar
     return key[kept], owner[kept]
 
 
-def parity_sketch(g: np.ndarray, text: np.ndarray, texts: int, bits: int = SKETCH_BITS) -> np.ndarray:
-    """Bits flipped an odd number of times, as 64-bit words per text."""
-    at = text * bits + (mix(g ^ np.uint64(0x2545F4914F6CDD1D)) % np.uint64(bits)).astype(np.int64)
-    on = (np.bincount(at, minlength=texts * bits) & 1).astype(np.uint8)
-    return np.packbits(on.reshape(texts, bits), axis=1).reshape(-1).view(np.int64).reshape(texts, bits // 64)
+def sketch_words(size: np.ndarray) -> np.ndarray:
+    """Sketch length in 64-bit words: a power of two, at least 8 and about half the set's size in bits."""
+    return np.int64(1) << np.maximum(3, np.ceil(np.log2(np.maximum(size, 1) / 128)).astype(np.int64))
+
+
+def parity_sketch(g: np.ndarray, text: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bits flipped an odd number of times: words of all texts, and words per text."""
+    words = sketch_words(size)
+    base = np.concatenate([[0], np.cumsum(words)])
+    x = mix(g ^ np.uint64(0x2545F4914F6CDD1D))
+    at = base[text] * 64 + (x & (words[text].astype(np.uint64) * np.uint64(64) - np.uint64(1))).astype(np.int64)
+    on = (np.bincount(at, minlength=base[-1] * 64) & 1).astype(np.uint8)
+    return np.packbits(on, bitorder="little").view(np.int64), words
+
+
+def folded(sketch: np.ndarray, words: int) -> np.ndarray:
+    """A sketch (rows of words) as it would be at a smaller power of two."""
+    while sketch.shape[1] > words:
+        half = sketch.shape[1] // 2
+        sketch = sketch[:, :half] ^ sketch[:, half:]
+    return sketch
 
 
 def _profile(k: int):
@@ -127,30 +145,36 @@ def _profile(k: int):
         w = Words(*text_bytes(batch.column(1)), NOT_SPACE)
         g, text = shingle_sets(w, k)
         size = np.bincount(text, minlength=w.texts).astype(np.int64)
-        one, two = np.zeros(w.texts, np.uint64), np.zeros(w.texts, np.uint64)
-        with np.errstate(over="ignore"):
-            np.bitwise_xor.at(one, text, mix(g + np.uint64(1)))
-            np.add.at(two, text, mix(g ^ np.uint64(0xABCDEF)))
-        sk = parity_sketch(g, text, w.texts)
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), list_column(sk.reshape(-1), np.full(w.texts, sk.shape[1]), pa.int64())], ["id", "n", "fp1", "fp2", "sketch"])
+        one, two = fingerprints(g, text, w.texts)
+        sk, words = parity_sketch(g, text, size)
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), pa.array(one), pa.array(two), list_column(sk, words, pa.int64())], ["id", "n", "fp1", "fp2", "sketch"])
 
     return fn
 
 
+def fingerprints(g: np.ndarray, text: np.ndarray, texts: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit fingerprints of each text's set."""
+    out = []
+    for salt in (0x1234567, 0xABCDEF):
+        sums = np.zeros(texts, np.uint64)
+        with np.errstate(over="ignore"):
+            at = np.flatnonzero(np.concatenate([[True], text[1:] != text[:-1]])) if len(text) else np.zeros(0, np.int64)
+            if len(at):
+                sums[text[at]] = np.add.reduceat(mix(g ^ np.uint64(salt)), at)
+        out.append(mix(sums).view(np.int64))
+    return out[0], out[1]
+
+
 def _signatures(k: int, num: int, den: int):
     def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
-        w = Words(*text_bytes(batch.column(1)), NOT_SPACE)
+        w = Words(*text_bytes(batch.column(0)), NOT_SPACE)
         g, text = shingle_sets(w, k)
         size = np.bincount(text, minlength=w.texts).astype(np.int64)
+        fp = fingerprints(g, text, w.texts)[0]
         edges = band_edges(num, den, int(size.max(initial=1)))
         band = np.searchsorted(edges, np.maximum(size, 1), side="right") - 1
-        keys, owners = [], []
-        for step in (0, 1):
-            a, b = block_keys(g, text, size, band + step, edges, num, den)
-            keys.append(a)
-            owners.append(b)
-        owner = np.concatenate(owners)
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), batch.column(0).take(pa.array(owner))], ["key", "id"])
+        parts = [block_keys(g, text, size, band + step, edges, num, den) for step in (0, 1)]
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[0] for x in parts]).view(np.int64)), pa.array(fp[np.concatenate([x[1] for x in parts])])], ["key", "fp"])
 
     return fn
 
@@ -164,60 +188,119 @@ def _sets(k: int):
     return fn
 
 
+def near_pairs(n: np.ndarray, component: np.ndarray, sketches: list[np.ndarray], num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of different components within both bounds."""
+    words = min(len(x) for x in sketches)
+    by_words: dict[int, list[int]] = {}
+    for i, x in enumerate(sketches):
+        by_words.setdefault(len(x), []).append(i)
+    sk = np.zeros((len(n), words), np.int64)
+    for rows in by_words.values():
+        sk[rows] = folded(np.stack([sketches[i] for i in rows]), words)
+    left, right = [], []
+    step = max(1, 2_000_000 // (len(n) * words))
+    for at in range(0, len(n), step):
+        rows = np.arange(at, min(at + step, len(n)))
+        a, b = n[rows][:, None], n[None, :]
+        ok = (component[rows][:, None] != component[None, :]) & (rows[:, None] < np.arange(len(n))[None, :]) & (den * np.minimum(a, b) >= num * np.maximum(a, b))
+        x, y = np.nonzero(ok)
+        for part in range(0, len(x), 200_000):
+            i, j = rows[x[part : part + 200_000]], y[part : part + 200_000]
+            near = np.bitwise_count(sk[i] ^ sk[j]).sum(axis=1, dtype=np.int64) <= (n[i] + n[j]) * (den - num) // (den + num)
+            left.append(i[near])
+            right.append(j[near])
+    return (np.concatenate(left), np.concatenate(right)) if left else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
+def _search(num: int, den: int):
+    """Near pairs of each bucket; rows come sorted by key."""
+
+    def run(batches):
+        held: list = []
+        key = None
+
+        def done():
+            rows = pa.Table.from_batches(held)
+            ids = rows["id"].to_numpy()
+            i, j = near_pairs(rows["n"].to_numpy(), rows["component"].to_numpy(), [np.array(x, np.int64) for x in rows["sketch"].to_pylist()], num, den)
+            a, b = ids[i], ids[j]
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+        for batch in batches:
+            keys = batch.column(0).to_numpy()
+            cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1), len(keys)]
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                if hi == lo:
+                    continue
+                if key is not None and keys[lo] != key and held:
+                    yield done()
+                    held = []
+                key = keys[lo]
+                held.append(batch.slice(lo, hi - lo))
+        if held:
+            yield done()
+
+    return run
+
+
 def jaccard_classes(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of `docs`: id, n_shingles, component_id (smallest id reachable by
-    links), n_links (verified links of the row's star; 0 for a text of its own)."""
-    spark = docs.sparkSession
-    work = Workspace(spark, "parity")
+    links) and n_links (links of the row that were verified; links implied by a
+    common component aren't looked for)."""
+    work = Workspace(docs.sparkSession, "parity")
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     profile = work.table(map_texts(base, _profile(k), "id long, n long, fp1 long, fp2 long, sketch array<long>"), "profile")
-    nodes = profile.where("n > 0 and id is not null").dropDuplicates(["id"])
+    own = profile.where("n > 0 and id is not null")
+    # one node for each distinct set
+    nodes = work.table(own.groupBy("n", "fp1", "fp2").agg(F.min("id").alias("id"), F.first("sketch").alias("sketch")), "nodes")
+    copies = own.join(nodes.select("n", "fp1", "fp2", F.col("id").alias("node")), ["n", "fp1", "fp2"]).select("id", "node").distinct()
 
-    sig = map_texts(base.where("id is not null"), _signatures(k, num, den), "key long, id long")
     by_key = Window.partitionBy("key")
+    sig = map_texts(base.where("id is not null").select("text"), _signatures(k, num, den), "key long, fp long")
+    shared = sig.select("key", "fp", F.min("fp").over(by_key).alias("low"), F.max("fp").over(by_key).alias("high")).where("low < high").select("key", "fp").distinct()
+    order = F.xxhash64("fp", F.pmod("key", F.lit(HUB_SEEDS)))
     members = work.table(
-        sig.select("key", "id", F.min("id").over(by_key).alias("hub"), F.max("id").over(by_key).alias("last")).where("hub < last").select("key", "id", "hub").distinct(), "members"
+        shared.select("key", "fp", F.min(F.struct(order.alias("o"), "fp")).over(by_key)["fp"].alias("hub"), F.count("*").over(by_key).alias("size")), "members"
     )
+    ids = nodes.select("fp1", "id")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """Of pairs (a, b), those that link."""
-        left = nodes.select(*(F.col(c).alias(f"{c}_a") for c in nodes.columns))
-        right = nodes.select(*(F.col(c).alias(f"{c}_b") for c in nodes.columns))
-        both = pairs.join(left, F.col("a") == F.col("id_a")).join(right, F.col("b") == F.col("id_b"))
-        most = F.expr(f"(n_a + n_b) * {den - num} div {den + num}")
-        near = F.expr(f"{den} * least(n_a, n_b) >= {num} * greatest(n_a, n_b)")
-        words = [F.bit_count(F.col("sketch_a")[i].bitwiseXOR(F.col("sketch_b")[i])) for i in range(SKETCH_BITS // 64)]
-        apart = words[0]
-        for x in words[1:]:
-            apart = apart + x
-        both = both.where(near & (apart <= most)).select("a", "b", ((F.col("n_a") == F.col("n_b")) & (F.col("fp1_a") == F.col("fp1_b")) & (F.col("fp2_a") == F.col("fp2_b"))).alias("same"))
-        both = work.table(both, "candidates")
-        unsure = both.where("not same")
-        wanted = unsure.select(F.col("a").alias("id")).union(unsure.select(F.col("b").alias("id"))).distinct()
-        texts = base.dropna(subset=["id"]).join(wanted, "id", "left_semi")
+        """Of node pairs (a, b), those that link."""
+        wanted = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
+        texts = base.join(wanted, "id", "left_semi")
         sets = work.table(map_texts(texts, _sets(k), "id long, shingles array<long>").dropDuplicates(["id"]), "sets")
-        held = unsure.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("set_b")), "b").join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("set_a")), "a")
-        shared = F.size(F.array_intersect("set_a", "set_b")).cast("long")
-        links = held.where(shared * den >= (F.size("set_a") + F.size("set_b") - shared) * num).select("a", "b")
-        return work.table(both.where("same").select("a", "b").union(links), "links")
-
-    links = verified(members.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct())
+        held = pairs.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("set_b")), "b").join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("set_a")), "a")
+        both = F.size(F.array_intersect("set_a", "set_b")).cast("long")
+        out = work.table(held.where(both * den >= (F.size("set_a") + F.size("set_b") - both) * num).select("a", "b"), "links")
+        work.drop(sets)
+        return out
+
+    # stars
+    star = members.where("fp <> hub").select("hub", "fp").distinct()
+    star = star.join(ids.select(F.col("fp1").alias("hub"), F.col("id").alias("x")), "hub").join(ids.select(F.col("fp1").alias("fp"), F.col("id").alias("y")), "fp")
+    star = star.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    left = nodes.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("sketch_a"))
+    right = nodes.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("sketch_b"))
+    apart = F.expr("aggregate(zip_with(sketch_a, sketch_b, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)")
+    bound = (F.size("sketch_a") != F.size("sketch_b")) | (apart <= F.expr(f"(n_a + n_b) * {den - num} div {den + num}"))
+    star = star.join(left, "a").join(right, "b").where(F.expr(f"{den} * least(n_a, n_b) >= {num} * greatest(n_a, n_b)") & bound).select("a", "b")
+    star = work.table(star, "stars")
+    links = verified(star)
     labels = connect(work, links)
-    rest = members.where("id <> hub").select("key", "id")
-    while True:
-        # what is left of each bucket without its hubs; done where one component holds it
-        held = rest.join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-        open_ = held.select("key", "id", "component", F.min("component").over(by_key).alias("low"), F.max("component").over(by_key).alias("high")).where("low < high")
-        mine = Window.partitionBy("key", "component")
-        open_ = work.table(open_.select("key", "id", "component", F.count("*").over(mine).alias("peers")), "open")
-        if open_.isEmpty():
-            break
-        hubs = open_.groupBy("key").agg(F.min(F.struct("peers", "id", "component")).alias("hub"))
-        paired = open_.join(hubs, "key")
-        pairs = paired.where("component <> hub.component").select(F.least("id", "hub.id").alias("a"), F.greatest("id", "hub.id").alias("b")).distinct()
-        links = work.table(links.union(verified(pairs)), "links")
+
+    # what is left: buckets of more than a pair, over several components
+    rest = members.where("size > 2").select("key", F.col("fp").alias("fp1")).join(nodes, "fp1").join(labels, "id", "left")
+    rest = rest.select("key", "id", "n", "sketch", F.coalesce("component", "id").alias("component"))
+    rest = rest.withColumns({"low": F.min("component").over(by_key), "high": F.max("component").over(by_key)}).where("low < high")
+    rest = rest.select("key", "id", "n", "component", "sketch").sortWithinPartitions("key")
+    pairs = rest.mapInArrow(_search(num, den), "a long, b long").distinct().join(star, ["a", "b"], "left_anti")
+    pairs = work.table(pairs, "pairs")
+    if not pairs.isEmpty():
+        links = links.union(verified(pairs))
         labels = connect(work, links)
-        rest = work.table(paired.where("id <> hub.id").select("key", "id"), "rest")
     degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n_links"))
-    found = labels.join(degree, "id", "left")
-    return profile.select("id", "n").join(found, "id", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    found = labels.join(degree, "id", "left").select(F.col("id").alias("node"), "component", "n_links")
+    classes = copies.join(found, "node", "left").select("id", F.coalesce("component", "node").alias("component"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    # a node's component is its smallest node, and a node is the smallest id of its copies
+    out = profile.select("id", "n").join(classes, "id", "left")
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
