@@ -69,7 +69,14 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs.withColumn("held_out", held_out(5, 0)), grammar).drop("text")
 
 
-QUERIES = {"op9_toxicity": op9_toxicity, "op10_quality": op10_quality, "op7_pii": op7_pii, "op8_licenses": op8_licenses, "op6_language": op6_language, "op5_decontaminate": op5_decontaminate, "op2_ngram_jaccard": op2_ngram_jaccard}
+def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vectors of every fiftieth one."""
+    from .op03_neighbours import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"), F.coalesce(F.col("vec_id") % 50 == 0, F.lit(False)), k=5)
+
+
+QUERIES = {"op3_neighbours": op3_neighbours, "op9_toxicity": op9_toxicity, "op10_quality": op10_quality, "op7_pii": op7_pii, "op8_licenses": op8_licenses, "op6_language": op6_language, "op5_decontaminate": op5_decontaminate, "op2_ngram_jaccard": op2_ngram_jaccard}
 
 _LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = "regexp_extract_all(" + _LOWER.format("coalesce(text, '')") + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
