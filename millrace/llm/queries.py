@@ -76,7 +76,22 @@ def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"), F.coalesce(F.col("vec_id") % 50 == 0, F.lit(False)), k=5)
 
 
-QUERIES = {"op3_neighbours": op3_neighbours, "op9_toxicity": op9_toxicity, "op10_quality": op10_quality, "op7_pii": op7_pii, "op8_licenses": op8_licenses, "op6_language": op6_language, "op5_decontaminate": op5_decontaminate, "op2_ngram_jaccard": op2_ngram_jaccard}
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document, by place and digest of the value."""
+    from .op01_secrets import fit, secret_findings
+
+    found = secret_findings(table(spark, sf_dir, "documents"), fit(spark))
+    return found.select("doc_id", F.col("start").cast("long"), F.col("end").cast("long"), "kind", F.sha2("value", 256).alias("value_sha256"), "score")
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents sampled to tempered shares of source, language and topic."""
+    from .op04_mixing import mix_sources
+
+    return mix_sources(table(spark, sf_dir, "documents"))[0].select("doc_id", "source", "lang", "topic", "n_tokens", "weight", "p_include")
+
+
+QUERIES = {"op1_secrets": op1_secrets, "op4_mixing": op4_mixing, "op3_neighbours": op3_neighbours, "op9_toxicity": op9_toxicity, "op10_quality": op10_quality, "op7_pii": op7_pii, "op8_licenses": op8_licenses, "op6_language": op6_language, "op5_decontaminate": op5_decontaminate, "op2_ngram_jaccard": op2_ngram_jaccard}
 
 _LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = "regexp_extract_all(" + _LOWER.format("coalesce(text, '')") + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
