@@ -20,10 +20,11 @@ the start, so copies cost nothing beyond their own signatures. Links within a
 bucket aren't expanded into all pairs: first each bucket's hub (smallest under
 one of `HUB_SEEDS` hashes) is verified against its members and components are
 joined. Buckets whose members then still lie in different components are searched
-exhaustively, but inside numpy on the sketches: only pairs of different
-components that pass the length bound and the Hamming bound come out as rows, to
-be verified on the full shingle sets (64-bit hashes). So each link between
-different components is found.
+exhaustively inside numpy, on the sketches: of the pairs of different components
+that pass the length bound and the Hamming bound a spanning forest comes out, to
+be verified on the full shingle sets (64-bit hashes). Pairs that fail are told
+to the next round, until no bucket proposes any. So each link between different
+components is found.
 
 Edge cases: null ids get a null component; a row repeated with the same id is
 one node and is returned as often as it came; extra columns are ignored; an
@@ -118,8 +119,8 @@ def block_keys(g: np.ndarray, text: np.ndarray, size: np.ndarray, group: np.ndar
 
 
 def sketch_words(size: np.ndarray) -> np.ndarray:
-    """Sketch length in 64-bit words: a power of two, at least 8 and about half the set's size in bits."""
-    return np.int64(1) << np.maximum(3, np.ceil(np.log2(np.maximum(size, 1) / 128)).astype(np.int64))
+    """Sketch length in 64-bit words: a power of two, at least 4 and 4 to 8 bits a shingle."""
+    return np.int64(1) << np.maximum(2, np.ceil(np.log2(np.maximum(size, 1) / 16)).astype(np.int64))
 
 
 def parity_sketch(g: np.ndarray, text: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -188,8 +189,9 @@ def _sets(k: int):
     return fn
 
 
-def near_pairs(n: np.ndarray, component: np.ndarray, sketches: list[np.ndarray], num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of different components within both bounds."""
+def near_pairs(n: np.ndarray, component: np.ndarray, sketches: list[np.ndarray], failed: np.ndarray, num: int, den: int) -> tuple[list[int], list[int]]:
+    """Pairs within both bounds that would join components: a spanning forest of
+    them, without the pairs (rows of numbers) that have failed."""
     words = min(len(x) for x in sketches)
     by_words: dict[int, list[int]] = {}
     for i, x in enumerate(sketches):
@@ -197,19 +199,24 @@ def near_pairs(n: np.ndarray, component: np.ndarray, sketches: list[np.ndarray],
     sk = np.zeros((len(n), words), np.int64)
     for rows in by_words.values():
         sk[rows] = folded(np.stack([sketches[i] for i in rows]), words)
+    known: dict[int, list[int]] = {}
+    for i, j in failed:
+        known.setdefault(int(i), []).append(int(j))
+    c = component.copy()
     left, right = [], []
-    step = max(1, 2_000_000 // (len(n) * words))
-    for at in range(0, len(n), step):
-        rows = np.arange(at, min(at + step, len(n)))
-        a, b = n[rows][:, None], n[None, :]
-        ok = (component[rows][:, None] != component[None, :]) & (rows[:, None] < np.arange(len(n))[None, :]) & (den * np.minimum(a, b) >= num * np.maximum(a, b))
-        x, y = np.nonzero(ok)
-        for part in range(0, len(x), 200_000):
-            i, j = rows[x[part : part + 200_000]], y[part : part + 200_000]
-            near = np.bitwise_count(sk[i] ^ sk[j]).sum(axis=1, dtype=np.int64) <= (n[i] + n[j]) * (den - num) // (den + num)
-            left.append(i[near])
-            right.append(j[near])
-    return (np.concatenate(left), np.concatenate(right)) if left else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    for i in range(len(n) - 1):
+        j = i + 1 + np.flatnonzero((c[i + 1 :] != c[i]) & (den * np.minimum(n[i + 1 :], n[i]) >= num * np.maximum(n[i + 1 :], n[i])))
+        if i in known:
+            j = np.setdiff1d(j, known[i])
+        if not len(j):
+            continue
+        j = j[np.bitwise_count(sk[j] ^ sk[i]).sum(axis=1, dtype=np.int64) <= (n[j] + n[i]) * (den - num) // (den + num)]
+        if len(j):
+            joined, first = np.unique(c[j], return_index=True)
+            left += [i] * len(first)
+            right += j[first].tolist()
+            c[np.isin(c, joined)] = c[i]
+    return left, right
 
 
 def _search(num: int, den: int):
@@ -222,7 +229,9 @@ def _search(num: int, den: int):
         def done():
             rows = pa.Table.from_batches(held)
             ids = rows["id"].to_numpy()
-            i, j = near_pairs(rows["n"].to_numpy(), rows["component"].to_numpy(), [np.array(x, np.int64) for x in rows["sketch"].to_pylist()], num, den)
+            at = {v: i for i, v in enumerate(ids.tolist())}
+            failed = [(min(i, at[v]), max(i, at[v])) for i, x in enumerate(rows["failed"].to_pylist()) for v in x or [] if v in at]
+            i, j = near_pairs(rows["n"].to_numpy(), rows["component"].to_numpy(), [np.array(x, np.int64) for x in rows["sketch"].to_pylist()], failed, num, den)
             a, b = ids[i], ids[j]
             return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
@@ -289,14 +298,19 @@ def jaccard_classes(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     labels = connect(work, links)
 
     # what is left: buckets of more than a pair, over several components
-    rest = members.where("size > 2").select("key", F.col("fp").alias("fp1")).join(nodes, "fp1").join(labels, "id", "left")
-    rest = rest.select("key", "id", "n", "sketch", F.coalesce("component", "id").alias("component"))
-    rest = rest.withColumns({"low": F.min("component").over(by_key), "high": F.max("component").over(by_key)}).where("low < high")
-    rest = rest.select("key", "id", "n", "component", "sketch").sortWithinPartitions("key")
-    pairs = rest.mapInArrow(_search(num, den), "a long, b long").distinct().join(star, ["a", "b"], "left_anti")
-    pairs = work.table(pairs, "pairs")
-    if not pairs.isEmpty():
-        links = links.union(verified(pairs))
+    open_ = members.where("size > 2").select("key", F.col("fp").alias("fp1")).join(nodes.select("fp1", "id", "n", "sketch"), "fp1").drop("fp1")
+    failed = star.join(links, ["a", "b"], "left_anti")
+    while True:
+        rest = open_.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        rest = rest.withColumns({"low": F.min("component").over(by_key), "high": F.max("component").over(by_key)}).where("low < high")
+        known = failed.groupBy(F.col("a").alias("id")).agg(F.collect_list("b").alias("failed"))
+        rest = rest.join(known, "id", "left").select("key", "id", "n", "component", "sketch", "failed").repartition("key").sortWithinPartitions("key")
+        pairs = work.table(rest.mapInArrow(_search(num, den), "a long, b long").distinct(), "pairs")
+        if pairs.isEmpty():
+            break
+        more = verified(pairs)
+        links = work.table(links.union(more), "links")
+        failed = work.table(failed.union(pairs.join(more, ["a", "b"], "left_anti")), "failed")
         labels = connect(work, links)
     degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n_links"))
     found = labels.join(degree, "id", "left").select(F.col("id").alias("node"), "component", "n_links")
