@@ -45,6 +45,8 @@ HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9][\x20-
 WORD, NOT_WORD = r"[\p{L}\p{N}]++", r"[^\p{L}\p{N}]+"
 #: Words on either side of an entity, within so many characters.
 REACH, WINDOW = 3, 200
+#: Most disclosing terms that are broadcast to their texts; more are joined by shuffle.
+FEW_TERMS = 200_000
 SUPPORT = 2
 DISCLOSURE = 0.8
 
@@ -180,12 +182,16 @@ def pii_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`docs` with base spans and disclosing terms generalised to `[KIND]` in the text."""
-    rows = sensitive_spans(docs, id_col, text_col).where("size(spans) > 0")
-    cuts = "array_sort(concat(transform(spans, s -> struct(s.start, s.end, upper(s.kind) as tag)), transform(terms, t -> struct(t.start, t.end, if(t.term rlike '^[0-9]+$', 'NUMBER', 'TERM') as tag))))"
-    rows = rows.select(F.col("id").alias("_id"), F.col("h").alias("_h"), F.expr(cuts).alias("_cuts")).groupBy("_id", "_h").agg(F.first("_cuts").alias("_cuts"))
-    names = {c: fresh(c, docs.columns) for c in ("_id", "_h", "_cuts", "_key")}
-    rows = rows.select(*(F.col(c).alias(names[c]) for c in ("_id", "_h", "_cuts")))
-    # only texts with spans meet their rows; all the others go past
+    work = Workspace(docs.sparkSession, "sanitise")
+    names = {c: fresh(c, docs.columns) for c in ("_id", "_h", "_terms", "_spans", "_cuts")}
+    rows = sensitive_spans(docs, id_col, text_col).where("size(terms) > 0").groupBy("id", "h").agg(F.first("terms").alias("terms"))
+    rows = work.table(rows.select(F.col("id").alias(names["_id"]), F.col("h").alias(names["_h"]), F.col("terms").alias(names["_terms"])), "terms")
+    # base spans are found again in the row; only rows with disclosing terms are joined
+    few = (rows.agg(F.sum(F.size(names["_terms"]))).first()[0] or 0) <= FEW_TERMS
+    joined = docs.join(F.broadcast(rows) if few else rows, F.col(id_col).eqNullSafe(F.col(names["_id"])) & (text_hash(text_col) == F.col(names["_h"])), "left")
+    spans = F.transform(base_spans(F.col(text_col)), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.upper(s["kind"]).alias("tag")))
+    terms = F.transform(F.coalesce(F.col(names["_terms"]), F.expr("cast(array() as array<struct<start:int,end:int,term:string>>)")), lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), F.when(t["term"].rlike("^[0-9]+$"), "NUMBER").otherwise("TERM").alias("tag")))
+    joined = joined.withColumn(names["_cuts"], F.array_sort(F.concat(spans, terms)))
     text, cuts_col = F.col(text_col), F.col(names["_cuts"])
     state = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
@@ -195,5 +201,4 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         return F.when(inside, s).otherwise(F.struct(x["end"].alias("at"), F.concat(s["out"], F.array(cut, F.concat(F.lit("["), x["tag"], F.lit("]")))).alias("out")))
 
     clean = F.aggregate(cuts_col, state, step, lambda s: F.concat(F.array_join(s["out"], ""), F.substring(text, s["at"] + 1, F.length(text))))
-    joined = docs.join(rows, F.col(id_col).eqNullSafe(F.col(names["_id"])) & (text_hash(text_col) == F.col(names["_h"])), "left")
-    return joined.withColumn(text_col, F.when(cuts_col.isNull(), text).otherwise(clean)).select(*docs.columns)
+    return joined.withColumn(text_col, F.when(F.coalesce(F.size(cuts_col), F.lit(0)) == 0, text).otherwise(clean)).select(*docs.columns)
