@@ -19,12 +19,14 @@ Texts with the same set (equal size and 128-bit fingerprint) are one node from
 the start, so copies cost nothing beyond their own signatures. Links within a
 bucket aren't expanded into all pairs: first each bucket's hub (smallest under
 one of `HUB_SEEDS` hashes) is verified against its members and components are
-joined. Buckets whose members then still lie in different components are searched
-exhaustively inside numpy, on the sketches: of the pairs of different components
-that pass the length bound and the Hamming bound a spanning forest comes out, to
-be verified on the full shingle sets (64-bit hashes). Pairs that fail are told
-to the next round, until no bucket proposes any. So each link between different
-components is found.
+joined. Families (nodes joined by buckets) whose members then still lie in different
+components are searched exhaustively inside numpy, on the sketches, in tiles of
+bounded size: what isn't in the family's largest component against the whole
+family. Of the pairs of different components that pass the length bound and the
+Hamming bound a spanning forest comes out of each tile, to be verified on the
+full shingle sets (64-bit hashes). A second search then yields all such pairs
+that are still between components, without those that have failed. So each link
+between different components is found.
 
 Edge cases: null ids get a null component; a row repeated with the same id is
 one node and is returned as often as it came; extra columns are ignored; an
@@ -44,6 +46,8 @@ from .store import Workspace
 from .words import NOT_SPACE, Words, list_column, map_texts, mix, text_bytes
 
 HUB_SEEDS = 8
+#: Rows on a side of a tile of the search within a family.
+TILE = 512
 BLOCK_BITS = 16
 
 
@@ -119,8 +123,8 @@ def block_keys(g: np.ndarray, text: np.ndarray, size: np.ndarray, group: np.ndar
 
 
 def sketch_words(size: np.ndarray) -> np.ndarray:
-    """Sketch length in 64-bit words: a power of two, at least 4 and 4 to 8 bits a shingle."""
-    return np.int64(1) << np.maximum(2, np.ceil(np.log2(np.maximum(size, 1) / 16)).astype(np.int64))
+    """Sketch length in 64-bit words: a power of two, at least 4 and 2 to 4 bits a shingle."""
+    return np.int64(1) << np.maximum(2, np.ceil(np.log2(np.maximum(size, 1) / 32)).astype(np.int64))
 
 
 def parity_sketch(g: np.ndarray, text: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -189,62 +193,79 @@ def _sets(k: int):
     return fn
 
 
-def near_pairs(n: np.ndarray, component: np.ndarray, sketches: list[np.ndarray], failed: np.ndarray, num: int, den: int) -> tuple[list[int], list[int]]:
-    """Pairs within both bounds that would join components: a spanning forest of
-    them, without the pairs (rows of numbers) that have failed."""
-    words = min(len(x) for x in sketches)
-    by_words: dict[int, list[int]] = {}
-    for i, x in enumerate(sketches):
-        by_words.setdefault(len(x), []).append(i)
-    sk = np.zeros((len(n), words), np.int64)
-    for rows in by_words.values():
-        sk[rows] = folded(np.stack([sketches[i] for i in rows]), words)
-    known: dict[int, list[int]] = {}
-    for i, j in failed:
-        known.setdefault(int(i), []).append(int(j))
-    c = component.copy()
-    left, right = [], []
-    for i in range(len(n) - 1):
-        j = i + 1 + np.flatnonzero((c[i + 1 :] != c[i]) & (den * np.minimum(n[i + 1 :], n[i]) >= num * np.maximum(n[i + 1 :], n[i])))
-        if i in known:
-            j = np.setdiff1d(j, known[i])
-        if not len(j):
-            continue
-        j = j[np.bitwise_count(sk[j] ^ sk[i]).sum(axis=1, dtype=np.int64) <= (n[j] + n[i]) * (den - num) // (den + num)]
-        if len(j):
-            joined, first = np.unique(c[j], return_index=True)
-            left += [i] * len(first)
-            right += j[first].tolist()
-            c[np.isin(c, joined)] = c[i]
-    return left, right
-
-
-def _search(num: int, den: int):
-    """Near pairs of each bucket; rows come sorted by key."""
+def near_pairs(left: dict, right: dict, num: int, den: int, forest: bool = True) -> tuple[list[int], list[int]]:
+    """Pairs (place in left, place in right) of different components within both
+    bounds, without pairs that have failed: a spanning forest of them, or all.
+
+    Each side has id, n, component, sketch (arrays of words) and failed (ids).
+    """
+    if not len(left["id"]) or not len(right["id"]):
+        return [], []
+    words = min(len(x) for x in [*left["sketch"], *right["sketch"]])
+
+    def level(sketches: list[np.ndarray]) -> np.ndarray:
+        by_words: dict[int, list[int]] = {}
+        for i, x in enumerate(sketches):
+            by_words.setdefault(len(x), []).append(i)
+        out = np.zeros((len(sketches), words), np.int64)
+        for rows in by_words.values():
+            out[rows] = folded(np.stack([sketches[i] for i in rows]), words)
+        return out
+
+    a, b = level(left["sketch"]), level(right["sketch"])
+    _, c = np.unique(np.concatenate([left["component"], right["component"]]), return_inverse=True)
+    ca, cb = c[: len(a)].copy(), c[len(a) :].copy()
+    n = right["n"]
+    x, y = [], []
+    for i in range(len(a)):
+        m = left["n"][i]
+        j = np.flatnonzero((cb != ca[i]) & (den * np.minimum(n, m) >= num * np.maximum(n, m)))
+        j = j[np.bitwise_count(b[j] ^ a[i]).sum(axis=1, dtype=np.int64) <= (n[j] + m) * (den - num) // (den + num)]
+        if len(j) and len(left["failed"][i]):
+            j = j[~np.isin(right["id"][j], left["failed"][i])]
+        if len(j) and not forest:
+            x += [i] * len(j)
+            y += j.tolist()
+        elif len(j):
+            joined, first = np.unique(cb[j], return_index=True)
+            x += [i] * len(first)
+            y += j[first].tolist()
+            known = np.append(joined, ca[i])
+            ca[np.isin(ca, known)] = ca[i]
+            cb[np.isin(cb, known)] = known[-1]
+    return x, y
+
+
+def _side(rows: pa.Table) -> dict:
+    lists = lambda c: [np.array(v or [], np.int64) for v in rows[c].to_pylist()]
+    return {"id": rows["id"].to_numpy(), "n": rows["n"].to_numpy(), "component": rows["component"].to_numpy(), "sketch": lists("sketch"), "failed": lists("failed")}
+
+
+def _tiles(num: int, den: int, forest: bool):
+    """Near pairs of each tile; rows come sorted by tile."""
 
     def run(batches):
         held: list = []
-        key = None
+        tile = None
 
-        def done():
+        def done() -> pa.RecordBatch:
             rows = pa.Table.from_batches(held)
-            ids = rows["id"].to_numpy()
-            at = {v: i for i, v in enumerate(ids.tolist())}
-            failed = [(min(i, at[v]), max(i, at[v])) for i, x in enumerate(rows["failed"].to_pylist()) for v in x or [] if v in at]
-            i, j = near_pairs(rows["n"].to_numpy(), rows["component"].to_numpy(), [np.array(x, np.int64) for x in rows["sketch"].to_pylist()], failed, num, den)
-            a, b = ids[i], ids[j]
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+            minor = rows["minor"].to_numpy(zero_copy_only=False)
+            left, right = _side(rows.filter(pa.array(minor))), _side(rows.filter(pa.array(~minor)))
+            x, y = near_pairs(left, right, num, den, forest)
+            p, q = left["id"][x].astype(np.int64), right["id"][y].astype(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q))], ["a", "b"])
 
         for batch in batches:
-            keys = batch.column(0).to_numpy()
-            cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1), len(keys)]
+            at = np.stack([batch.column(i).to_numpy() for i in range(3)], axis=1)
+            cuts = [0, *(np.flatnonzero((at[1:] != at[:-1]).any(axis=1)) + 1), len(at)]
             for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
                 if hi == lo:
                     continue
-                if key is not None and keys[lo] != key and held:
+                if held and tuple(at[lo]) != tile:
                     yield done()
                     held = []
-                key = keys[lo]
+                tile = tuple(at[lo])
                 held.append(batch.slice(lo, hi - lo))
         if held:
             yield done()
@@ -269,7 +290,7 @@ def jaccard_classes(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     shared = sig.select("key", "fp", F.min("fp").over(by_key).alias("low"), F.max("fp").over(by_key).alias("high")).where("low < high").select("key", "fp").distinct()
     order = F.xxhash64("fp", F.pmod("key", F.lit(HUB_SEEDS)))
     members = work.table(
-        shared.select("key", "fp", F.min(F.struct(order.alias("o"), "fp")).over(by_key)["fp"].alias("hub"), F.count("*").over(by_key).alias("size")), "members"
+        shared.select("fp", F.min(F.struct(order.alias("o"), "fp")).over(by_key)["fp"].alias("hub")), "members"
     )
     ids = nodes.select("fp1", "id")
 
@@ -287,31 +308,43 @@ def jaccard_classes(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     # stars
     star = members.where("fp <> hub").select("hub", "fp").distinct()
     star = star.join(ids.select(F.col("fp1").alias("hub"), F.col("id").alias("x")), "hub").join(ids.select(F.col("fp1").alias("fp"), F.col("id").alias("y")), "fp")
-    star = star.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    star = work.table(star.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "stars")
+    work.drop(members)
     left = nodes.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("sketch_a"))
     right = nodes.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("sketch_b"))
-    apart = F.expr("aggregate(zip_with(sketch_a, sketch_b, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)")
-    bound = (F.size("sketch_a") != F.size("sketch_b")) | (apart <= F.expr(f"(n_a + n_b) * {den - num} div {den + num}"))
-    star = star.join(left, "a").join(right, "b").where(F.expr(f"{den} * least(n_a, n_b) >= {num} * greatest(n_a, n_b)") & bound).select("a", "b")
-    star = work.table(star, "stars")
-    links = verified(star)
+    # linked sizes differ by less than a factor of two, so one fold levels two sketches
+    half = "if(size({0}) > size({1}), zip_with(slice({0}, 1, size({0}) div 2), slice({0}, size({0}) div 2 + 1, size({0}) div 2), (x, y) -> x ^ y), {0})"
+    apart = F.expr(f"aggregate(zip_with({half.format('sketch_a', 'sketch_b')}, {half.format('sketch_b', 'sketch_a')}, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)")
+    near = F.expr(f"{den} * least(n_a, n_b) >= {num} * greatest(n_a, n_b)")
+    tried = star.join(left, "a").join(right, "b").where(near).where(apart <= F.expr(f"(n_a + n_b) * {den - num} div {den + num}")).select("a", "b")
+    tried = work.table(tried, "tried")
+    links = verified(tried)
     labels = connect(work, links)
 
-    # what is left: buckets of more than a pair, over several components
-    open_ = members.where("size > 2").select("key", F.col("fp").alias("fp1")).join(nodes.select("fp1", "id", "n", "sketch"), "fp1").drop("fp1")
-    failed = star.join(links, ["a", "b"], "left_anti")
-    while True:
-        rest = open_.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        rest = rest.withColumns({"low": F.min("component").over(by_key), "high": F.max("component").over(by_key)}).where("low < high")
-        known = failed.groupBy(F.col("a").alias("id")).agg(F.collect_list("b").alias("failed"))
-        rest = rest.join(known, "id", "left").select("key", "id", "n", "component", "sketch", "failed").repartition("key").sortWithinPartitions("key")
-        pairs = work.table(rest.mapInArrow(_search(num, den), "a long, b long").distinct(), "pairs")
+    # what stars leave open: families (nodes joined by buckets) of several components.
+    # All that isn't in a family's largest component is compared with the whole family.
+    families = connect(work, star).withColumnRenamed("component", "family")
+    for forest in (True, False):
+        held = families.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        parts = held.groupBy("family", "component").agg(F.count("*").alias("m"))
+        open_ = parts.groupBy("family").agg(F.max(F.struct("m", "component")).alias("big"), F.sum("m").alias("size"), F.count("*").alias("parts")).where("parts > 1 and size > 2")
+        open_ = open_.select("family", F.col("big.component").alias("big"), F.ceil(F.col("size") / TILE).cast("int").alias("ys"), F.ceil((F.col("size") - F.col("big.m")) / TILE).cast("int").alias("xs"))
+        known = tried.join(links, ["a", "b"], "left_anti")
+        known = known.union(known.select("b", "a")).groupBy(F.col("a").alias("id")).agg(F.collect_list("b").alias("failed"))
+        rows = held.join(open_, "family").join(nodes.select("id", "n", "sketch"), "id").join(known, "id", "left")
+        cols = ["family", "x", "y", "minor", "id", "n", "component", "sketch", "failed"]
+        spread = F.xxhash64("id", F.lit(5))
+        minor = rows.where("component <> big").withColumns({"x": F.pmod(spread, "xs").cast("int"), "y": F.explode(F.sequence(F.lit(0), F.col("ys") - 1)), "minor": F.lit(True)})
+        whole = rows.withColumns({"y": F.pmod(spread, "ys").cast("int"), "x": F.explode(F.sequence(F.lit(0), F.col("xs") - 1)), "minor": F.lit(False)})
+        tiles = minor.select(cols).union(whole.select(cols)).repartition("family", "x", "y").sortWithinPartitions("family", "x", "y")
+        pairs = work.table(tiles.mapInArrow(_tiles(num, den, forest), "a long, b long").distinct(), "pairs")
         if pairs.isEmpty():
             break
         more = verified(pairs)
-        links = work.table(links.union(more), "links")
-        failed = work.table(failed.union(pairs.join(more, ["a", "b"], "left_anti")), "failed")
-        labels = connect(work, links)
+        tried = tried.union(pairs)
+        if not more.isEmpty():
+            links = work.table(links.union(more), "links")
+            labels = connect(work, links)
     degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n_links"))
     found = labels.join(degree, "id", "left").select(F.col("id").alias("node"), "component", "n_links")
     classes = copies.join(found, "node", "left").select("id", F.coalesce("component", "node").alias("component"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
