@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 500_000
 
 # Odd 64-bit multipliers of the polynomial and of the k-gram mix.
 _P = 0x9E3779B97F4A7C15
