@@ -22,7 +22,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .words import LOWER, annotate, text_bytes
@@ -79,20 +79,22 @@ def suffix_automaton(text: bytes) -> list[dict[int, int]]:
 
 
 def parse_table(text: bytes, classes: np.ndarray, n_classes: int) -> np.ndarray:
-    """Next state by state and byte class; the low bit tells that a phrase ended.
+    """Next state by state and byte class; the low bit tells that a phrase began.
 
     The last class is padding, which changes nothing.
     """
     go = suffix_automaton(text)
-    root = np.zeros(n_classes, np.int64)
+    # a phrase begins in the last state, which unknown bytes lead back to
+    begin = len(go)
+    root = np.full(n_classes, begin, np.int64)
     for c, t in go[0].items():
         root[classes[c]] = t
-    table = np.tile(root * 2 + 1, (len(go), 1))
+    table = np.tile(root * 2 + 1, (begin + 1, 1))
     for s, edges in enumerate(go):
         for c, t in edges.items():
             table[s, classes[c]] = t * 2
-    table[:, -1] = np.arange(len(go)) * 2
-    return table.astype(np.uint16 if len(go) < 1 << 15 else np.int32).reshape(-1)
+    table[:, -1] = np.arange(begin + 1) * 2
+    return table.astype(np.uint16 if begin < (1 << 15) - 1 else np.int32).reshape(-1)
 
 
 class Parser:
@@ -122,8 +124,8 @@ class Parser:
         length = end - at
         cls = np.append(self.classes[b], self.n_classes - 1).astype(np.int32)
         out = np.zeros((len(size), len(self.langs)))
-        state = [np.zeros(len(at), np.int32) for _ in self.langs]
-        found = [np.ones(len(at), np.int32) for _ in self.langs]
+        state = [np.full(len(at), len(t) // self.n_classes - 1, np.int32) for t in self.tables]
+        found = [np.zeros(len(at), np.int32) for _ in self.langs]
         for step in range(int(length.max(initial=0))):
             open_ = int(np.searchsorted(-length, -step, side="left"))
             c = cls[at[:open_] + step]
@@ -136,24 +138,42 @@ class Parser:
         return out
 
 
+def _wanted(lang_col: str, sizes: dict[str, int]) -> Column:
+    """Characters to take of a text, so that few texts of a language give more each."""
+    out = F.lit(TRAIN_BYTES)
+    for lang, n in sorted(sizes.items()):
+        out = F.when(F.col(lang_col) == lang, max(4 * TRAIN_BYTES // max(min(n, TRAIN_DOCS), 1), 1)).otherwise(out)
+    return out
+
+
+def _middle(text: Column, n: Column) -> Column:
+    """The n characters in the middle of a text."""
+    return F.substring(text, F.greatest(F.lit(1), ((F.length(text) - n) / 2).cast("int") + 1), n)
+
+
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Parser:
     """Automata from `docs`, all of whose rows with a language may be learned from.
 
     The languages themselves must be a bounded set; each gives at most
     TRAIN_DOCS rows, and of each text the bytes in its middle.
     """
-    share = TRAIN_BYTES // TRAIN_DOCS
-    rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
-    langs = [r[0] for r in rows.select(lang_col).distinct().collect()]
+    known = docs.where(F.col(lang_col).isNotNull())
+    sizes = {r[0]: r[1] for r in known.groupBy(lang_col).agg(F.count("*")).collect()}
+    # by a bound on the hash of the id a few more rows come than are needed
+    bound = F.lit(0.0)
+    for lang, n in sorted(sizes.items()):
+        bound = F.when(F.col(lang_col) == lang, min(1.0, 2.0 * TRAIN_DOCS / n)).otherwise(bound)
+    h = F.pmod(F.xxhash64(id_col), F.lit(1 << 32))
+    rows = known.where((h < bound * float(1 << 32)) & F.col(text_col).rlike(r"\p{L}"))
+    pieces_of: dict[str, list] = {}
+    for r in rows.select(F.col(lang_col).alias("lang"), h.alias("h"), _middle(F.col(text_col), _wanted(lang_col, sizes)).alias("t")).collect():
+        pieces_of.setdefault(r.lang, []).append((r.h, r.t))
     texts = {}
-    for lang in langs:
-        # widest pieces first come from many rows; where rows are few each gives more
-        own = rows.where(F.col(lang_col) == lang)
-        head = own.select(F.xxhash64(id_col).alias("h"), F.expr(f"substring(`{text_col}`, greatest(1, cast(length(`{text_col}`) / 2 as int) - {TRAIN_BYTES // 2}), {TRAIN_BYTES})").alias("t")).orderBy("h", "t").limit(TRAIN_DOCS)
-        got = [r.t for r in head.select(F.col("t")).collect()]
-        share = max(TRAIN_BYTES // max(len(got), 1), 1)
+    for lang, got in pieces_of.items():
+        got = sorted(got)[:TRAIN_DOCS]
+        share = max(TRAIN_BYTES // len(got), 1)
         pieces = []
-        for t in got:
+        for _, t in got:
             raw = np.frombuffer(t.encode(), np.uint8)
             b, _ = fold(raw, np.array([0, len(raw)]))
             mid = max(0, (len(b) - share) // 2)
