@@ -34,8 +34,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Of each group linked by five-word shingles with a Jaccard of 0.8 or more
     the document with the smallest id stays; of rows with one id, one row.
     Documents without words or id link with nothing and stay."""
-    work = Workspace(spark, "near")
-    classes = work.table(op02_parity.jaccard_classes(docs, k=5, num=80, den=100), "classes")
+    classes = op02_parity.jaccard_classes(docs, k=5, num=80, den=100)
     gone, once = fresh("_gone", docs.columns), fresh("_row", docs.columns)
     drop = classes.where("doc_id <> component_id").select(F.col("doc_id").alias(gone)).distinct()
     few = drop.count() <= FEW_IDS

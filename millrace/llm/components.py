@@ -14,15 +14,17 @@ def connect(work: Workspace, edges: DataFrame) -> DataFrame:
     Each round gives a node the least label among its own and its neighbours'
     and then that label's own label (pointer jumping). Joins are splittable by
     adaptive skew handling and the minimum is pre-aggregated, so a node with very
-    many edges doesn't land in one task. Each round's labels are a written table.
+    many edges doesn't land in one task. Each round's labels are a written table, so lineage
+    ends there.
     """
     both = edges.select(F.col("a").alias("id"), F.col("b").alias("other")).union(edges.select(F.col("b").alias("id"), F.col("a").alias("other")))
-    labels = work.table(both.groupBy("id").agg(F.least(F.col("id"), F.min("other")).alias("component")), "labels")
+    rows = 2 * edges.count()
+    labels = work.table(both.groupBy("id").agg(F.least(F.col("id"), F.min("other")).alias("component")), "labels", rows)
     while True:
         near = both.join(labels.select(F.col("id").alias("other"), F.col("component").alias("near")), "other").groupBy("id").agg(F.min("near").alias("near"))
         step = labels.join(near, "id").select("id", F.col("component").alias("before"), F.least("component", "near").alias("mid"))
         jump = step.join(labels.select(F.col("id").alias("mid"), F.col("component").alias("top")), "mid").select("id", "before", F.least("mid", "top").alias("component"))
-        found = work.table(jump, "labels")
+        found = work.table(jump, "labels", rows)
         if found.where("before <> component").isEmpty():
             return found.select("id", "component")
         labels = found.select("id", "component")

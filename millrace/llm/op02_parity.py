@@ -19,14 +19,13 @@ Texts with the same set (equal size and 128-bit fingerprint) are one node from
 the start, so copies cost nothing beyond their own signatures. Links within a
 bucket aren't expanded into all pairs: first each bucket's hub (smallest under
 one of `HUB_SEEDS` hashes) is verified against its members and components are
-joined. Families (nodes joined by buckets) whose members then still lie in different
-components are searched exhaustively inside numpy, on the sketches, in tiles of
-bounded size: what isn't in the family's largest component against the whole
-family. Of the pairs of different components that pass the length bound and the
-Hamming bound a spanning forest comes out of each tile, to be verified on the
-full shingle sets (64-bit hashes). A second search then yields all such pairs
-that are still between components, without those that have failed. So each link
-between different components is found.
+joined. Buckets whose members then still lie in different components are searched
+exhaustively inside numpy, on the sketches: of the pairs of different components
+that pass the length bound and the Hamming bound a spanning forest comes out of
+each bucket, to be verified on the full shingle sets (64-bit hashes). A second
+search then yields all such pairs that are still between components, without
+those that were verified before. So each link between different components is
+found, and what comes out as rows stays near the number of nodes.
 
 Edge cases: null ids get a null component; a row repeated with the same id is
 one node and is returned as often as it came; extra columns are ignored; an
@@ -37,6 +36,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -46,8 +46,6 @@ from .store import Workspace
 from .words import NOT_SPACE, Words, list_column, map_texts, mix, text_bytes
 
 HUB_SEEDS = 8
-#: Rows on a side of a tile of the search within a family.
-TILE = 512
 BLOCK_BITS = 16
 
 
@@ -193,79 +191,59 @@ def _sets(k: int):
     return fn
 
 
-def near_pairs(left: dict, right: dict, num: int, den: int, forest: bool = True) -> tuple[list[int], list[int]]:
-    """Pairs (place in left, place in right) of different components within both
-    bounds, without pairs that have failed: a spanning forest of them, or all.
-
-    Each side has id, n, component, sketch (arrays of words) and failed (ids).
-    """
-    if not len(left["id"]) or not len(right["id"]):
-        return [], []
-    words = min(len(x) for x in [*left["sketch"], *right["sketch"]])
-
-    def level(sketches: list[np.ndarray]) -> np.ndarray:
-        by_words: dict[int, list[int]] = {}
-        for i, x in enumerate(sketches):
-            by_words.setdefault(len(x), []).append(i)
-        out = np.zeros((len(sketches), words), np.int64)
-        for rows in by_words.values():
-            out[rows] = folded(np.stack([sketches[i] for i in rows]), words)
-        return out
-
-    a, b = level(left["sketch"]), level(right["sketch"])
-    _, c = np.unique(np.concatenate([left["component"], right["component"]]), return_inverse=True)
-    ca, cb = c[: len(a)].copy(), c[len(a) :].copy()
-    n = right["n"]
-    x, y = [], []
-    for i in range(len(a)):
-        m = left["n"][i]
-        j = np.flatnonzero((cb != ca[i]) & (den * np.minimum(n, m) >= num * np.maximum(n, m)))
-        j = j[np.bitwise_count(b[j] ^ a[i]).sum(axis=1, dtype=np.int64) <= (n[j] + m) * (den - num) // (den + num)]
-        if len(j) and len(left["failed"][i]):
-            j = j[~np.isin(right["id"][j], left["failed"][i])]
-        if len(j) and not forest:
-            x += [i] * len(j)
-            y += j.tolist()
-        elif len(j):
-            joined, first = np.unique(cb[j], return_index=True)
-            x += [i] * len(first)
-            y += j[first].tolist()
-            known = np.append(joined, ca[i])
-            ca[np.isin(ca, known)] = ca[i]
-            cb[np.isin(cb, known)] = known[-1]
-    return x, y
-
-
-def _side(rows: pa.Table) -> dict:
-    lists = lambda c: [np.array(v or [], np.int64) for v in rows[c].to_pylist()]
-    return {"id": rows["id"].to_numpy(), "n": rows["n"].to_numpy(), "component": rows["component"].to_numpy(), "sketch": lists("sketch"), "failed": lists("failed")}
-
-
-def _tiles(num: int, den: int, forest: bool):
-    """Near pairs of each tile; rows come sorted by tile."""
+def near_pairs(n: np.ndarray, component: np.ndarray, sketches: list[np.ndarray], num: int, den: int, forest: bool) -> tuple[list[int], list[int]]:
+    """Pairs of different components within both bounds: a spanning forest of them, or all."""
+    words = min(len(x) for x in sketches)
+    by_words: dict[int, list[int]] = {}
+    for i, x in enumerate(sketches):
+        by_words.setdefault(len(x), []).append(i)
+    level = np.zeros((len(n), words), np.int64)
+    for rows in by_words.values():
+        level[rows] = folded(np.stack([sketches[i] for i in rows]), words)
+    level = level.view(np.uint64)  # numpy counts the bits of a signed number's absolute value
+    c = component.copy()
+    left, right = [], []
+    for i in range(len(n) - 1):
+        rest = slice(i + 1, None)
+        j = i + 1 + np.flatnonzero((c[rest] != c[i]) & (den * np.minimum(n[rest], n[i]) >= num * np.maximum(n[rest], n[i])))
+        j = j[np.bitwise_count(level[j] ^ level[i]).sum(axis=1, dtype=np.int64) <= (n[j] + n[i]) * (den - num) // (den + num)]
+        if not len(j):
+            continue
+        if forest:
+            joined, first = np.unique(c[j], return_index=True)
+            j = j[first]
+            c[np.isin(c, joined)] = c[i]
+        left += [i] * len(j)
+        right += j.tolist()
+    return left, right
+
+
+def _search(num: int, den: int, forest: bool):
+    """Near pairs of each bucket; rows (key, id, n, component, sketch) come sorted by key."""
 
     def run(batches):
         held: list = []
-        tile = None
+        key = None
 
         def done() -> pa.RecordBatch:
             rows = pa.Table.from_batches(held)
-            minor = rows["minor"].to_numpy(zero_copy_only=False)
-            left, right = _side(rows.filter(pa.array(minor))), _side(rows.filter(pa.array(~minor)))
-            x, y = near_pairs(left, right, num, den, forest)
-            p, q = left["id"][x].astype(np.int64), right["id"][y].astype(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q))], ["a", "b"])
+            ids = rows["id"].to_numpy()
+            sketches = rows["sketch"].combine_chunks()
+            flat, off = sketches.flatten().to_numpy(), sketches.offsets.to_numpy() - sketches.offsets[0].as_py()
+            i, j = near_pairs(rows["n"].to_numpy(), rows["component"].to_numpy(), [flat[x:y] for x, y in zip(off[:-1], off[1:], strict=True)], num, den, forest)
+            a, b = ids[i].astype(np.int64), ids[j].astype(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
         for batch in batches:
-            at = np.stack([batch.column(i).to_numpy() for i in range(3)], axis=1)
-            cuts = [0, *(np.flatnonzero((at[1:] != at[:-1]).any(axis=1)) + 1), len(at)]
+            keys = batch.column(0).to_numpy()
+            cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1), len(keys)]
             for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
                 if hi == lo:
                     continue
-                if held and tuple(at[lo]) != tile:
+                if held and keys[lo] != key:
                     yield done()
                     held = []
-                tile = tuple(at[lo])
+                key = keys[lo]
                 held.append(batch.slice(lo, hi - lo))
         if held:
             yield done()
@@ -282,7 +260,7 @@ def jaccard_classes(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     profile = work.table(map_texts(base, _profile(k), "id long, n long, fp1 long, fp2 long, sketch array<long>"), "profile")
     own = profile.where("n > 0 and id is not null")
     # one node for each distinct set
-    nodes = work.table(own.groupBy("n", "fp1", "fp2").agg(F.min("id").alias("id"), F.first("sketch").alias("sketch")), "nodes")
+    nodes = work.table(own.groupBy("n", "fp1", "fp2").agg(F.min("id").alias("id"), F.first("sketch").alias("sketch")), "nodes", profile.count())
     copies = own.join(nodes.select("n", "fp1", "fp2", F.col("id").alias("node")), ["n", "fp1", "fp2"]).select("id", "node").distinct()
 
     by_key = Window.partitionBy("key")
@@ -290,7 +268,7 @@ def jaccard_classes(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     shared = sig.select("key", "fp", F.min("fp").over(by_key).alias("low"), F.max("fp").over(by_key).alias("high")).where("low < high").select("key", "fp").distinct()
     order = F.xxhash64("fp", F.pmod("key", F.lit(HUB_SEEDS)))
     members = work.table(
-        shared.select("fp", F.min(F.struct(order.alias("o"), "fp")).over(by_key)["fp"].alias("hub")), "members"
+        shared.select("key", "fp", F.min(F.struct(order.alias("o"), "fp")).over(by_key)["fp"].alias("hub"), F.count("*").over(by_key).alias("size")), "members"
     )
     ids = nodes.select("fp1", "id")
 
@@ -298,18 +276,17 @@ def jaccard_classes(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
         """Of node pairs (a, b), those that link."""
         wanted = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
         texts = base.join(wanted, "id", "left_semi")
-        sets = work.table(map_texts(texts, _sets(k), "id long, shingles array<long>").dropDuplicates(["id"]), "sets")
+        sets = map_texts(texts, _sets(k), "id long, shingles array<long>").dropDuplicates(["id"]).persist(StorageLevel.DISK_ONLY)
         held = pairs.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("set_b")), "b").join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("set_a")), "a")
         both = F.size(F.array_intersect("set_a", "set_b")).cast("long")
-        out = work.table(held.where(both * den >= (F.size("set_a") + F.size("set_b") - both) * num).select("a", "b"), "links")
-        work.drop(sets)
+        out = work.table(held.where(both * den >= (F.size("set_a") + F.size("set_b") - both) * num).select("a", "b"), "links", pairs.count())
+        sets.unpersist()
         return out
 
     # stars
     star = members.where("fp <> hub").select("hub", "fp").distinct()
     star = star.join(ids.select(F.col("fp1").alias("hub"), F.col("id").alias("x")), "hub").join(ids.select(F.col("fp1").alias("fp"), F.col("id").alias("y")), "fp")
-    star = work.table(star.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "stars")
-    work.drop(members)
+    star = star.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     left = nodes.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("sketch_a"))
     right = nodes.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("sketch_b"))
     # linked sizes differ by less than a factor of two, so one fold levels two sketches
@@ -317,37 +294,28 @@ def jaccard_classes(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     apart = F.expr(f"aggregate(zip_with({half.format('sketch_a', 'sketch_b')}, {half.format('sketch_b', 'sketch_a')}, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)")
     near = F.expr(f"{den} * least(n_a, n_b) >= {num} * greatest(n_a, n_b)")
     tried = star.join(left, "a").join(right, "b").where(near).where(apart <= F.expr(f"(n_a + n_b) * {den - num} div {den + num}")).select("a", "b")
-    tried = work.table(tried, "tried")
+    tried = work.table(tried, "tried", members.count())
     links = verified(tried)
     labels = connect(work, links)
 
-    # what stars leave open: families (nodes joined by buckets) of several components.
-    # All that isn't in a family's largest component is compared with the whole family.
-    families = connect(work, star).withColumnRenamed("component", "family")
+    # what stars leave open: buckets of more than a pair that hold several components
+    placed = members.where("size > 2").select("key", F.col("fp").alias("fp1")).join(ids, "fp1").select("key", "id")
     for forest in (True, False):
-        held = families.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        parts = held.groupBy("family", "component").agg(F.count("*").alias("m"))
-        open_ = parts.groupBy("family").agg(F.max(F.struct("m", "component")).alias("big"), F.sum("m").alias("size"), F.count("*").alias("parts")).where("parts > 1 and size > 2")
-        open_ = open_.select("family", F.col("big.component").alias("big"), F.ceil(F.col("size") / TILE).cast("int").alias("ys"), F.ceil((F.col("size") - F.col("big.m")) / TILE).cast("int").alias("xs"))
-        known = tried.join(links, ["a", "b"], "left_anti")
-        known = known.union(known.select("b", "a")).groupBy(F.col("a").alias("id")).agg(F.collect_list("b").alias("failed"))
-        rows = held.join(open_, "family").join(nodes.select("id", "n", "sketch"), "id").join(known, "id", "left")
-        cols = ["family", "x", "y", "minor", "id", "n", "component", "sketch", "failed"]
-        spread = F.xxhash64("id", F.lit(5))
-        minor = rows.where("component <> big").withColumns({"x": F.pmod(spread, "xs").cast("int"), "y": F.explode(F.sequence(F.lit(0), F.col("ys") - 1)), "minor": F.lit(True)})
-        whole = rows.withColumns({"y": F.pmod(spread, "ys").cast("int"), "x": F.explode(F.sequence(F.lit(0), F.col("xs") - 1)), "minor": F.lit(False)})
-        tiles = minor.select(cols).union(whole.select(cols)).repartition("family", "x", "y").sortWithinPartitions("family", "x", "y")
-        pairs = work.table(tiles.mapInArrow(_tiles(num, den, forest), "a long, b long").distinct(), "pairs")
+        held = placed.join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+        held = held.select("key", "id", "component", F.min("component").over(by_key).alias("low"), F.max("component").over(by_key).alias("high")).where("low < high").select("key", "id", "component")
+        rows = held.join(nodes.select("id", "n", "sketch"), "id").select("key", "id", "n", "component", "sketch").repartition("key").sortWithinPartitions("key")
+        pairs = rows.mapInArrow(_search(num, den, forest), "a long, b long").distinct().join(tried, ["a", "b"], "left_anti")
+        pairs = work.table(pairs, "pairs", members.count())
         if pairs.isEmpty():
             break
         more = verified(pairs)
         tried = tried.union(pairs)
         if not more.isEmpty():
-            links = work.table(links.union(more), "links")
+            links = links.union(more)
             labels = connect(work, links)
     degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n_links"))
     found = labels.join(degree, "id", "left").select(F.col("id").alias("node"), "component", "n_links")
     classes = copies.join(found, "node", "left").select("id", F.coalesce("component", "node").alias("component"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     # a node's component is its smallest node, and a node is the smallest id of its copies
     out = profile.select("id", "n").join(classes, "id", "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return work.table(out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "classes", profile.count())

@@ -84,7 +84,7 @@ def rake(work: Workspace, counted: DataFrame, dims: list[str], temper: float = 0
         rest = F.greatest(F.lit(1.0) - F.col("fixed"), F.lit(0.0))
         share = F.when(F.col(f"raw_{d}") >= 0, F.when(F.col("loose") < 0, F.col(f"raw_{d}")).otherwise(F.col(f"raw_{d}") / F.col("fixed"))).otherwise(F.col(f"raw_{d}") / F.col("loose") * rest)
         cells = cells.withColumn(f"t_{d}", F.coalesce(share, F.lit(0.0))).drop("one", f"raw_{d}", "fixed", "loose")
-    cells = work.table(cells.withColumn("w", F.col("own")), "margins")
+    cells = cells.withColumn("w", F.col("own"))
     for _ in range(SWEEPS // BLOCK):
         if few:
             cells = cells.repartition(1).sortWithinPartitions(*dims)

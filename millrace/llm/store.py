@@ -11,6 +11,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows of a narrow table that one task writes.
+FILE_ROWS = 200_000
+
 _local: dict[str, str] = {}
 
 
@@ -33,8 +36,14 @@ class Workspace:
         self.base = f"{shared_root(spark)}/millrace/{name}-{uuid.uuid4().hex}"
         self._n = 0
 
-    def table(self, df: DataFrame, name: str) -> DataFrame:
-        """Write `df` and read it back: later reads survive lost executors."""
+    def table(self, df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+        """Write `df` and read it back: later reads survive lost executors.
+
+        Where at most so many `rows` of a few numbers are known to come, there is
+        one task and file for each `FILE_ROWS` of them.
+        """
+        if rows is not None:
+            df = df.coalesce(max(1, -(-rows // FILE_ROWS)))
         self._n += 1
         path = f"{self.base}/{self._n:03d}_{name}"
         df.write.mode("overwrite").parquet(path)
