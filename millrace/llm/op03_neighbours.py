@@ -47,7 +47,7 @@ class Forest:
         each = rows / max(len(sample), 1)
         self.roots = [self._grow(sample, rng, each, leaf) for _ in range(trees)]
         dim = sample.shape[1] if sample.ndim == 2 else 0
-        self.planes = np.array(self.planes, np.float64).reshape(-1, dim)
+        self.planes = np.array(self.planes, np.float64).reshape(len(self.children), dim)
         self.offsets = np.array(self.offsets)
         self.children = np.array(self.children, np.int64).reshape(-1, 2)
 
@@ -176,7 +176,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec
 
     n = classes.count()
     sample = classes.select("class", "vec").orderBy(F.xxhash64("class"), "class").limit(SAMPLE_ROWS).collect()
-    forest = Forest(_unit(np.array([r.vec for r in sample], np.float64).reshape(len(sample), dim)) if sample else np.zeros((0, dim)), n, trees, leaf)
+    forest = Forest(_unit(np.array([r.vec for r in sample], np.float64).reshape(len(sample), dim)) if sample else np.zeros((0, 1)), n, trees, leaf)
     shared = spark.sparkContext.broadcast(forest)
 
     def place(batches):

@@ -104,7 +104,7 @@ def _block(docs: DataFrame, text: str, windows: list) -> dict:
     for i, t in enumerate(tokens):
         by_k.setdefault(min(SHINGLE, int(m[i])), []).append(t)
     finders = {k: _Found(np.concatenate(t)) for k, t in by_k.items()}
-    seen = dict(map_texts(docs.select(text), _counts(finders), "token long, n long", text).groupBy("token").agg(F.sum("n")).collect())
+    seen = {} if not finders else dict(map_texts(docs.select(text), _counts(finders), "token long, n long", text).groupBy("token").agg(F.sum("n")).collect())
     prefix, offset = np.zeros(len(m), np.uint64), np.zeros(len(m), np.int64)
     for i, t in enumerate(tokens):
         often = [(seen.get(int(x), 0), int(x)) for x in t.view(np.int64)]

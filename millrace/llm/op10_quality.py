@@ -145,11 +145,12 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str
     if len(np.unique(y)) < 2:
         return Rules({}, logistic(x, y)[1])
     rules = sorted({p for t in forest(x, y, TREES, DEPTH, SEED, try_=6) for p in paths(t)})
+    if not rules:
+        return Rules({}, float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))))
     on = np.stack([holds(r, x) for r in rules], axis=1).astype(float)
     # equal columns carry one weight
     _, keep = np.unique(on, axis=1, return_index=True)
     keep = [i for i in np.sort(keep) if 0 < on[:, i].mean() < 1]
-    # classes count alike while weights are chosen, the base rate comes back with the intercept
     w, b = logistic(on[:, keep], y, l1=LASSO, l2=1e-5, steps=600)
     return Rules({rules[i]: float(v) for i, v in zip(keep, w, strict=True) if abs(v) > 1e-6}, b)
 
