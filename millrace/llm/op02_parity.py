@@ -279,7 +279,7 @@ def jaccard_classes(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
         sets = map_texts(texts, _sets(k), "id long, shingles array<long>").dropDuplicates(["id"]).persist(StorageLevel.DISK_ONLY)
         held = pairs.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("set_b")), "b").join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("set_a")), "a")
         both = F.size(F.array_intersect("set_a", "set_b")).cast("long")
-        out = work.table(held.where(both * den >= (F.size("set_a") + F.size("set_b") - both) * num).select("a", "b"), "links", pairs.count())
+        out = work.table(held.where(both * den >= (F.size("set_a") + F.size("set_b") - both) * num).select("a", "b"), "links", 40 * pairs.count())
         sets.unpersist()
         return out
 
