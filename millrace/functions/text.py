@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 HAN = r"一-鿿"
@@ -29,3 +29,20 @@ def keywords(text: Column, dictionary: tuple[str, ...] = ()) -> Column:
 def explode_keywords(df: DataFrame, text: str, out: str = "keyword", dictionary: tuple[str, ...] = ()) -> DataFrame:
     """One row per keyword; a row without any is dropped, as by a lateral join."""
     return df.withColumn(out, F.explode(keywords(F.col(text), dictionary)))
+
+
+def register_keyword_function(spark: SparkSession, name: str = "keyword_split", dictionary: tuple[str, ...] = ()) -> None:
+    """A table function for SQL: ``FROM t, LATERAL keyword_split(t.text)`` gives a `word` a row.
+
+    It does what `keywords` does; DataFrame code should use that, which stays in the JVM.
+    """
+    import regex
+
+    pattern = regex.compile(keyword_pattern(tuple(w.lower() for w in dictionary)))
+
+    class Split:
+        def eval(self, text: str):
+            for m in pattern.finditer((text or "").lower()):
+                yield (m.group(),)
+
+    spark.udtf.register(name, F.udtf(Split, returnType="word: string"))

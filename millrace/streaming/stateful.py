@@ -33,7 +33,7 @@ class _ByDate(StatefulProcessor):
 class FirstOfDay(_ByDate):
     """Passes every row, with `first` telling whether it is its key's first of the day."""
 
-    def handleInputRows(self, key, rows: Iterator[Row], timers) -> Iterator[Row]:
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         for row in sorted(rows, key=lambda r: r.et):
             date = row.date
             first = self._seen() != date
@@ -45,7 +45,7 @@ class FirstOfDay(_ByDate):
 class RepairIsNew(_ByDate):
     """Corrects is_new by the date of the key's first record."""
 
-    def handleInputRows(self, key, rows: Iterator[Row], timers) -> Iterator[Row]:
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         for row in sorted(rows, key=lambda r: r.et):
             fields, seen = row.asDict(), self._seen()
             if row.is_new == "1":
@@ -64,7 +64,7 @@ class Logins(_ByDate):
 
     GAP = 8
 
-    def handleInputRows(self, key, rows: Iterator[Row], timers) -> Iterator[Row]:
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         for row in sorted(rows, key=lambda r: r.et):
             seen = self._seen()
             if seen == row.date:
@@ -81,24 +81,24 @@ class Latest(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._handle = handle
-        self._row = handle.getValueState("row", "body string, et timestamp")
+        self._row = handle.getValueState("row", "at bigint, body string")
 
-    def handleInputRows(self, key, rows: Iterator[Row], timers) -> Iterator[Row]:
-        best = max(rows, key=lambda r: (r.et, r.body))
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        best = max((r.at, r.body) for r in rows)
         if self._row.exists():
-            body, et = self._row.get()
-            if (et, body) > (best.et, best.body):
-                best = Row(body=body, et=et)
+            best = max(best, tuple(self._row.get()))
         else:
-            self._handle.registerTimer(int(best.et.timestamp() * 1000) + self.WAIT_MS)
-        self._row.update((best.body, best.et))
+            self._handle.registerTimer(best[0] // 1000 + self.WAIT_MS)
+        self._row.update(best)
         return iter(())
 
-    def handleExpiredTimer(self, key, timers, expired) -> Iterator[Row]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         if self._row.exists():
-            body, et = self._row.get()
+            at, body = self._row.get()
             self._row.clear()
-            yield Row(id=key[0], body=body, et=et)
+            # rows must not be older than the watermark: they come out at the time of release
+            now = timerValues.getCurrentWatermarkInMs() + 1
+            yield Row(id=key[0], body=body, at=at, et=dt.datetime.fromtimestamp(now / 1e3, dt.timezone.utc))
 
     def close(self) -> None:
         pass
@@ -123,5 +123,5 @@ def logins(df: DataFrame, uid: str = "uid") -> DataFrame:
 
 
 def latest(df: DataFrame, key: str = "id") -> DataFrame:
-    """(id, body, et): `body` is the version as JSON."""
-    return _run(df.select(F.col(key).alias("id"), "body", "et"), ["id"], Latest(), "")
+    """(id, body, at, et): `body` is the version as JSON, `at` its time in microseconds, et the time of release."""
+    return _run(df.select(F.col(key).alias("id"), "body", F.unix_micros("et").alias("at"), "et"), ["id"], Latest(), "")

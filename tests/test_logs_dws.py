@@ -111,3 +111,11 @@ def test_names_times_and_json(spark):
     r = df.select(times.millis_of_datetime(F.col("dateTime")).alias("ms"), strings.bean_json(df, hidden=("ts",)).alias("j")).collect()[0]
     assert r.ms == 1718278525000 and json.loads(r.j) == {"date_time": "2024-06-13 19:35:25"}
     assert spark.range(1).select(times.date_of_millis(F.lit(T0)).alias("d"), times.today_partition().alias("p")).collect()[0].d == "2024-06-13"
+
+
+def test_keyword_table_function_equals_the_expression(spark):
+    df = elements(spark, [(1, "Red phone 小米手机5G red"), (2, "--"), (3, None)], "id int, t string")
+    text.register_keyword_function(spark, "cut", ("小米", "手机"))
+    df.createOrReplaceTempView("searches")
+    got = sorted(tuple(r) for r in spark.sql("select id, word from searches, lateral cut(searches.t)").collect())
+    assert got == sorted(tuple(r) for r in text.explode_keywords(df, "t", "word", ("小米", "手机")).select("id", "word").collect()) and len(got) == 6

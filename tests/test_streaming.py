@@ -122,3 +122,23 @@ def test_serving(spark, tmp_path):
     assert json.loads(serving.gmv_json(serving.gmv(spark, p, 20200101)))["data"] is None
     assert json.loads(serving.province_json(serving.province_amounts(spark, p, 20240613)))["data"]["mapData"] == [{"name": "north", "value": 3.5}]
     assert json.loads(serving.channel_json(serving.top_channels(spark, t, 20240613, 2)))["data"]["categories"] == ["c", "a"]
+
+
+def test_latest_version_after_a_wait(spark, tmp_path):
+    line = lambda i, t, v: json.dumps({"id": i, "ts": T0 + t, "body": v})
+    path = feed(tmp_path / "in", [line("1", 0, "a"), line("2", 0, "x")], [line("1", 2, "b")], [line("9", 60, "z")], [line("9", 120, "z")], [line("9", 180, "z")])
+    rows = text_lines(spark, path, True).select(F.from_json("value", "id string, ts bigint, body string").alias("v")).select("v.*").withColumn("et", from_seconds(F.col("ts"))).withWatermark("et", "0 seconds")
+    jobs.drain(stateful.latest(rows), str(tmp_path / "out"), str(tmp_path / "cp"))
+    got = sorted((r.id, r.body) for r in spark.read.parquet(str(tmp_path / "out")).where("id <> '9'").collect())
+    assert got == [("1", "b"), ("2", "x")]
+
+
+def test_province_orders_stream(spark, tmp_path):
+    line = lambda i, o, t, v: json.dumps({"id": i, "order_id": o, "province_id": "17", "split_total_amount": v, "ts": T0 + t})
+    path = feed(tmp_path / "in", [line("1", "10", 0, "2.50"), line("2", "10", 1, "1.00")], [line("1", "10", 2, "2.50"), line("3", "11", 3, "4.00")], [line("8", "99", 600, "1")], [line("9", "99", 1200, "1")])
+    schema = "id string, order_id string, province_id string, split_total_amount string, ts bigint"
+    rows = lambda stream: text_lines(spark, path, stream).select(F.from_json("value", schema).alias("v")).select("v.*")
+    jobs.drain(jobs.province_order_stream(rows(True)), str(tmp_path / "out"), str(tmp_path / "cp"))
+    names = elements(spark, [("17", "north")], "id string, name string")
+    want = [(r.stt, r.order_count, r.order_amount) for r in dws.province_order(rows(False), names).where("stt < '2024-06-13 00:05:00'").collect()]
+    assert [(r.stt, r.order_count, r.order_amount) for r in spark.read.parquet(str(tmp_path / "out")).where("stt < '2024-06-13 00:05:00'").collect()] == want
