@@ -158,11 +158,11 @@ def disclosures(texts: DataFrame, base: DataFrame) -> DataFrame:
     by_text = terms.groupBy("value", "term", "h").agg(F.count("*").alias("n"))
     pairs = by_text.groupBy("value", "term").agg(F.sum("n").alias("n_both"), F.count("*").alias("support")).where(F.col("support") >= SUPPORT)
     entities = held.select(F.explode(F.array_distinct(F.col("spans.value"))).alias("value")).groupBy("value").agg(F.count("*").alias("n_value"))
-    total = base.agg(F.count("*").alias("total"))
+    total = F.lit(float(base.count()))
     words = texts.select(F.explode(F.array_distinct(F.split(F.lower("text"), NOT_WORD))).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
-    out = pairs.join(entities, "value").join(words, "term").crossJoin(F.broadcast(total))
-    info = F.log2(F.col("total") / F.col("n_value"))
-    pmi = F.log2(F.col("n_both") * F.col("total") / (F.col("n_term") * F.col("n_value")))
+    out = pairs.join(entities, "value").join(words, "term")
+    info = F.log2(total / F.col("n_value"))
+    pmi = F.log2(F.col("n_both") * total / (F.col("n_term") * F.col("n_value")))
     return out.where(info > 0).select("value", "term", (pmi / info).alias("disclosure")).where(F.col("disclosure") >= DISCLOSURE)
 
 
