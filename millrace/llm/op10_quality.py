@@ -139,7 +139,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str
     """Rules from a sample of the labelled rows of `docs` (TRAIN_ROWS of each class at most)."""
     sample = labelled_sample(docs.select(id_col, text_col), labels, label, id_col)
     stats, names = with_statistics(sample, text_col)
-    rows = stats.select("label", *names.values()).orderBy("label", *names.values()).collect()
+    rows = sorted(tuple(r) for r in stats.select("label", *names.values()).collect())
     x = np.array([r[1:] for r in rows], float).reshape(len(rows), len(STATS))
     y = np.array([r[0] for r in rows], float)
     if len(np.unique(y)) < 2:
