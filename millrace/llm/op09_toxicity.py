@@ -213,7 +213,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str =
     """
     sample = labelled_sample(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), labels.withColumnRenamed(id_col, "id"), label, "id")
     sample = sample.select(F.coalesce("text", F.lit("")).alias("text"), F.col("label").cast("long").alias("label"), F.pmod(F.xxhash64("text"), F.lit(2)).alias("fold"))
-    sample = sample.repartition(16, F.xxhash64("text")).dropDuplicates(["text", "label"]).persist()
+    sample = sample.dropDuplicates(["text", "label"]).persist()
     try:
         sizes = {(r.label, r.fold): r.n for r in sample.groupBy("label", "fold").agg(F.count("*").alias("n")).collect()}
         n = [[sizes.get((y, f), 0) for f in (0, 1)] for y in (0, 1)]
