@@ -312,7 +312,7 @@ def jaccard_classes(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
         tried = tried.union(pairs)
         if not more.isEmpty():
             links = links.union(more)
-            labels = connect(work, links)
+            labels = connect(work, more, labels)
     degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n_links"))
     found = labels.join(degree, "id", "left").select(F.col("id").alias("node"), "component", "n_links")
     classes = copies.join(found, "node", "left").select("id", F.coalesce("component", "node").alias("component"), F.coalesce("n_links", F.lit(0)).alias("n_links"))

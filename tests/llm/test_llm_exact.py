@@ -343,3 +343,26 @@ def test_entry_without_the_subpackage():
 
     assert "pipeline" in e.queries() and {f"op{n}_" for n in range(1, 11)} == {re.match(r"op\d+_", q)[0] for q in e.queries() if q.startswith("op")}
     assert os.path.exists(os.path.join(os.path.dirname(e.__file__), "corpus_pipeline.py"))
+
+
+def test_components_step_by_step(spark):
+    from millrace.llm.components import connect
+
+    rng = np.random.default_rng(4)
+    edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (220, 2)) if a != b] + [(1000 + i, 1001 + i) for i in range(60)]
+    df = spark.createDataFrame(edges, "a long, b long")
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        x, y = find(a), find(b)
+        root[max(x, y)] = min(x, y)
+    want = {x: find(x) for e in edges for x in e}
+    work = Workspace(spark, "cc")
+    assert {r.id: r.component for r in connect(work, df).collect()} == want
+    half = connect(work, df.where("a % 2 = 0"))
+    assert {r.id: r.component for r in connect(work, df.where("a % 2 = 1"), half).collect()} == want
