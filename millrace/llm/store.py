@@ -47,14 +47,7 @@ class Workspace:
         self._n += 1
         path = f"{self.base}/{self._n:03d}_{name}"
         df.write.mode("overwrite").parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        out._millrace_path = path
-        return out
-
-    def drop(self, df: DataFrame) -> None:
-        """Delete a table of this workspace that nothing needs any more."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(df._millrace_path)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        return self.spark.read.schema(df.schema).parquet(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
