@@ -6,16 +6,19 @@ parts are at most 255, a card has 14 to 19 digits that pass Luhn, a phone 10 to
 15 digits; failing matches are dropped).
 
 Beyond them a term is a risk if it tells which entity a text speaks of. The
-corpus gives, for a term t in the `REACH` words on either side of an entity e,
-the point-wise mutual information ``log2(p(t, e) / (p(t) p(e)))`` over texts,
-and the entity's information ``-log2 p(e)``.
+corpus gives, for a term t and an entity e, the point-wise mutual information
+``log2(p(t, e) / (p(t) p(e)))`` over whole texts, and the entity's information
+``-log2 p(e)``.
 Terms with ``PMI >= DISCLOSURE * information`` and at least `SUPPORT` different
-texts in which they stand by e disclose e: they are generalised to their kind (a name,
-a number, a word) in texts that hold e. All counts are over all texts.
+texts that they share with e disclose e: wherever they stand in texts that hold
+e they are generalised to their kind (a number, a term). All counts are over all
+texts.
 
-DataFrame and SQL code only. Term counts are pre-aggregated, entities' contexts
-are the only texts' parts that are shuffled, and an entity that a third of all
-texts hold is a row per text with partial sums, never a list in one task.
+DataFrame and SQL code only. Term counts are pre-aggregated; entities of fewer
+than `SUPPORT` different texts can have no disclosing term, so only texts that
+hold another are read for pairs, once per text; entities that stand in the same
+texts have the same terms and are one class. An entity that a third of all texts
+hold is a row per text with partial sums, never a list in one task.
 
 Edge cases: a null text is empty; repeated rows get the same result each; a
 null id is an id like another; an empty table gives an empty result; extra
@@ -42,9 +45,7 @@ KINDS = {
 #: A text without a match of these has none of the kind.
 HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]"}
 
-WORD, NOT_WORD = r"[\p{L}\p{N}]++", r"[^\p{L}\p{N}]+"
-#: Words on either side of an entity, within so many characters.
-REACH, WINDOW = 3, 200
+WORD = r"[\p{L}\p{N}]++"
 #: Most disclosing terms that are broadcast to their texts; more are joined by shuffle.
 FEW_TERMS = 200_000
 SUPPORT = 2
@@ -101,26 +102,22 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(*parts))
 
 
-def _near(text: Column, e: Column) -> Column:
-    """The words next to a span: array of (value, start, end, term)."""
-    kind = "array<struct<value:string,start:int,end:int,term:string>>"
+def _terms(text: Column) -> Column:
+    """The different words of a text, in lower case."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), F.lower))
 
-    def side(part: Column, shift: Column, cut: Column) -> Column:
-        state = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
 
-        def step(s: Column, x: Column) -> Column:
-            start = s["at"] + F.length(x["g"])
-            end = start + F.coalesce(F.length(x["m"]), F.lit(0))
-            whole = x["m"].isNotNull() & ~cut(start, end)
-            item = F.struct(e["value"].alias("value"), (start + shift).alias("start"), (end + shift).alias("end"), F.lower(x["m"]).alias("term"))
-            return F.struct(end.alias("at"), F.when(whole, F.concat(s["out"], F.array(item))).otherwise(s["out"]).alias("out"))
+def _places(text: Column, terms: Column) -> Column:
+    """Where a text has one of the terms: array of (start, end, term), ordered."""
+    state = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,term:string>>").alias("out"))
 
-        return F.aggregate(found(part, WORD), state, step, lambda s: s["out"])
+    def step(s: Column, x: Column) -> Column:
+        start = s["at"] + F.length(x["g"])
+        end = start + F.coalesce(F.length(x["m"]), F.lit(0))
+        item = F.struct(start.alias("start"), end.alias("end"), F.lower(x["m"]).alias("term"))
+        return F.struct(end.alias("at"), F.when(x["m"].isNotNull() & F.array_contains(terms, F.lower(x["m"])), F.concat(s["out"], F.array(item))).otherwise(s["out"]).alias("out"))
 
-    shift = F.greatest(e["start"] - WINDOW, F.lit(0))
-    before = side(F.substring(text, shift + 1, e["start"] - shift), shift, lambda start, end: (shift > 0) & (start == 0))
-    after = side(F.substring(text, e["end"] + 1, F.lit(WINDOW)), e["end"], lambda start, end: end == WINDOW)
-    return F.concat(F.slice(F.reverse(before), 1, REACH), F.slice(after, 1, REACH))
+    return F.aggregate(found(text, WORD), state, step, lambda s: s["out"])
 
 
 def sensitive_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -132,13 +129,18 @@ def sensitive_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     work = Workspace(docs.sparkSession, "pii")
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = docs.select(F.col(id_col).alias("id"), text_hash(text_col).alias("h"), text.alias("text")).withColumn("spans", base_spans(F.col("text")))
-    near = F.when(F.size("spans") > 0, F.array_distinct(F.flatten(F.transform("spans", lambda e: _near(F.col("text"), e)))))
-    base = work.table(base.select("id", "h", "spans", near.alias("near")), "spans")
-    risky = disclosures(docs.select(text.alias("text")), base)
-    held = base.where("near is not null").select("id", "h", F.explode("near").alias("w")).select("id", "h", "w.*")
-    marked = held.join(risky.select("value", "term"), ["value", "term"]).groupBy("id", "h").agg(F.array_sort(F.collect_set(F.struct("start", "end", "term"))).alias("marked"))
-    marked = marked.select(F.col("id").alias("_id"), F.col("h").alias("_h"), "marked")
-    out = base.join(marked, F.col("id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h")), "left")
+    base = work.table(base.select("id", "h", "spans"), "spans")
+    shared = work.table(shared_classes(base), "classes")
+    holders = shared.select("h").distinct()
+    few = holders.count() <= FEW_TERMS
+    # the texts that hold a shared entity, once each
+    held = docs.select(text_hash(text_col).alias("h"), text.alias("text")).join(F.broadcast(holders) if few else holders, "h", "left_semi")
+    held = work.table(held.groupBy("h").agg(F.first("text").alias("text")), "held")
+    risky = disclosures(docs.select(text.alias("text")), base.count(), shared, held)
+    by_text = shared.join(risky.select("class", "term"), "class").groupBy("h").agg(F.collect_set("term").alias("risky"))
+    marked = work.table(held.join(by_text, "h").select("h", _places(F.col("text"), F.col("risky")).alias("marked")), "marked")
+    few = (marked.agg(F.sum(F.size("marked"))).first()[0] or 0) <= FEW_TERMS
+    out = base.join(F.broadcast(marked) if few else marked, "h", "left")
     none = "cast(array() as array<struct<start:int,end:int,term:string>>)"
     free = F.expr(f"filter(coalesce(marked, {none}), t -> not exists(spans, s -> s.start < t.end and t.start < s.end))")
     return out.select("id", "h", "spans", free.alias("terms"))
@@ -148,22 +150,30 @@ def text_hash(text_col: str) -> Column:
     return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
 
 
-def disclosures(texts: DataFrame, base: DataFrame) -> DataFrame:
-    """(value, term, disclosure) of terms that disclose an entity.
+def shared_classes(base: DataFrame) -> DataFrame:
+    """(h, class, n, n_value): entities that at least `SUPPORT` different texts
+    hold, one (the smallest) for all that stand in the same texts; n is the rows
+    of text h, n_value those of all of the entity's texts."""
+    by_text = base.where("size(spans) > 0").select("h", F.explode(F.array_distinct(F.col("spans.value"))).alias("value")).groupBy("value", "h").agg(F.count("*").alias("n"))
+    prints = [F.bit_xor(F.xxhash64("h", F.lit(i))).alias(f"x{i}") for i in range(2)]
+    values = by_text.groupBy("value").agg(F.sum("n").alias("n_value"), F.count("*").alias("support"), *prints).where(F.col("support") >= SUPPORT)
+    classes = values.groupBy("support", "x0", "x1").agg(F.min("value").alias("value"), F.first("n_value").alias("n_value"))
+    return by_text.join(classes.select("value", "n_value"), "value").select("h", F.col("value").alias("class"), "n", "n_value")
+
+
+def disclosures(texts: DataFrame, n_texts: int, shared: DataFrame, held: DataFrame) -> DataFrame:
+    """(class, term, disclosure) of terms that disclose a class of entities.
 
-    `texts` holds all texts, `base` their spans and the words near them.
+    `texts` holds all texts, `shared` the classes by text, `held` those texts.
     """
-    held = base.where("near is not null")
-    terms = held.select("h", F.explode(F.array_distinct(F.expr("transform(near, x -> struct(x.value as value, x.term as term))"))).alias("w")).select("h", "w.value", "w.term")
-    by_text = terms.groupBy("value", "term", "h").agg(F.count("*").alias("n"))
-    pairs = by_text.groupBy("value", "term").agg(F.sum("n").alias("n_both"), F.count("*").alias("support")).where(F.col("support") >= SUPPORT)
-    entities = held.select(F.explode(F.array_distinct(F.col("spans.value"))).alias("value")).groupBy("value").agg(F.count("*").alias("n_value"))
-    total = F.lit(float(base.count()))
-    words = texts.select(F.explode(F.array_distinct(F.split(F.lower("text"), NOT_WORD))).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
-    out = pairs.join(entities, "value").join(words, "term")
+    pairs = shared.join(held.select("h", _terms(F.col("text")).alias("words")), "h").select("class", "n", "n_value", F.explode("words").alias("term"))
+    pairs = pairs.groupBy("class", "n_value", "term").agg(F.sum("n").alias("n_both"), F.count("*").alias("support")).where(F.col("support") >= SUPPORT)
+    words = texts.select(F.explode(_terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
+    out = pairs.join(words, "term")
+    total = F.lit(float(n_texts))
     info = F.log2(total / F.col("n_value"))
     pmi = F.log2(F.col("n_both") * total / (F.col("n_term") * F.col("n_value")))
-    return out.where(info > 0).select("value", "term", (pmi / info).alias("disclosure")).where(F.col("disclosure") >= DISCLOSURE)
+    return out.where(info > 0).select("class", "term", (pmi / info).alias("disclosure")).where(F.col("disclosure") >= DISCLOSURE)
 
 
 def pii_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
