@@ -30,7 +30,7 @@ from .learn import forest
 
 # Names whose assigned values are candidates; words beside secrets
 # and beside harmless look-alikes; placeholders; paths of tests and locks.
-ASSIGNED = r"(?i)(?:passw(?:or)?d|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|auth)[A-Za-z0-9_]*+[\"']?\x20?[:=]{1,2}\x20?[\"']?([^\s\"',;]{6,200})"
+ASSIGNED = r"(?i)(?:passw(?:or)?d|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|auth)[A-Za-z0-9_]*+[\"']?\x20?[:=]{1,2}\x20?[\"']?([^\s\"',;]{6,}+)"
 TOKEN = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])(?=[0-9+/_-]*+[A-Za-z])[A-Za-z0-9+/_-]{16,}+={0,2}"
 SECRET_WORDS = r"(?i)(?:token|secret|passw|pwd|api|key|auth|bearer|credential|private|access)"
 HARMLESS_WORDS = r"(?i)(?:sha|md5|hash|digest|checksum|commit|etag|uuid|guid|revision|integrity|version|build|request|trace|id\b)"

@@ -1,6 +1,6 @@
 """Cases that a bound within the work would miss."""
 
-from millrace.llm import op07_pii
+from millrace.llm import op01_secrets, op07_pii
 
 
 def test_terms_far_from_an_entity(spark):
@@ -14,3 +14,10 @@ def test_terms_far_from_an_entity(spark):
         assert out[i].n_terms == 2 and out[i].spans.startswith("term:0:5,")
         assert "Zarko" not in clean[i] and clean[i].count("[TERM]") == 2 and "[EMAIL]" in clean[i]
     assert all(out[10 + i].spans == "" and clean[10 + i] == rows[3 + i][1] for i in range(60))
+
+
+def test_assigned_secrets_of_any_length(spark):
+    value = "".join("0123456789abcdef"[(i * i * 7 + i // 16 * 5 + i) % 16] for i in range(1000))
+    rows = [(1, f'config token = "{value}" end', "src0"), (2, f"api_key: {value[:201]}", "src0")]
+    found = op01_secrets.secret_findings(spark.createDataFrame(rows, "doc_id long, text string, source string"), op01_secrets.fit(spark)).collect()
+    assert sorted((r.doc_id, r.start, r.end, r.kind, r.value) for r in found) == [(1, 16, 1016, "assigned", value), (2, 9, 210, "assigned", value[:201])]
