@@ -2,11 +2,15 @@
 
 Documents are counted into cells of source, language and topic. The cells' token
 weights are raked: each sweep scales them to one margin's targets after the
-other, until all margins fit. A cell's factor (raked share over own share) times
-a constant, at most 1, is the probability with which its documents are kept;
-the constant is chosen so that the expected tokens are the budget. A document
-is kept if a hash of its id and the seed, as a number in [0, 1), is below its
-probability, so the sample is the same on every run and partitioning.
+other, until all margins fit. A cell's factor is its raked share over its own
+share. The budget is a share of all tokens, and no document is taken twice, so
+a value's target is at most its own tokens: what it lacks goes to the other
+values of its margin in proportion (`bound`). Cells are then raked once more,
+from factors times a constant, with probabilities of at most 1: capped cells
+stay at 1 and the free ones fill the margins, until the expected tokens of the
+sample fit. A document is kept if a hash of its id and the seed, as a number in
+[0, 1), is below its cell's probability, so the sample is the same on every run
+and partitioning.
 
 DataFrame and SQL code only. What is raked are cells, pre-aggregated before the
 shuffle; they are gathered in one partition, and broadcast to the documents,
@@ -24,6 +28,8 @@ an empty result; extra columns pass through.
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -33,6 +39,8 @@ from .words import fresh
 
 FEW_CELLS = 100_000
 SWEEPS, BLOCK, CLOSE = 40, 8, 1e-6
+#: Most sweeps with probabilities of at most 1, and the gap in shares of all tokens at which they end.
+BOUND_SWEEPS, BOUND_CLOSE = 160, 1e-4
 
 
 def topic_of(text: Column) -> Column:
@@ -119,6 +127,54 @@ def _scale(cells: DataFrame, budget: float) -> float:
     return high
 
 
+def _filled(cells: DataFrame, dim: str, want: float) -> float:
+    """l such that the sum over values of min(own tokens, l * raked tokens) is `want`."""
+    values = cells.groupBy(dim).agg(F.sum("tokens").cast("double").alias("own"), F.sum(F.col("tokens") * F.col("factor")).alias("aim"))
+    level, full = 0.0, -1
+    while True:
+        whole = F.col("own") <= F.col("aim") * level
+        n, kept, free = values.agg(F.sum(F.when(whole, 1).otherwise(0)), F.sum(F.when(whole, F.col("own")).otherwise(0.0)), F.sum(F.when(whole, 0.0).otherwise(F.col("aim")))).first()
+        if n == full or not free:
+            return level
+        full, level = n, max(level, (want - kept) / free)
+
+
+def bound(work: Workspace, cells: DataFrame, dims: list[str], budget: float, few: bool) -> DataFrame:
+    """`cells` with `p`, probabilities of at most 1 whose expected tokens have the
+    margins that `factor` has, as far as there are tokens for them."""
+    c = _scale(cells, budget)
+    if c == float("inf"):
+        return cells.withColumn("p", F.lit(1.0))
+    total = float(cells.agg(F.sum("tokens")).first()[0])
+    levels = {d: _filled(cells, d, budget * total) for d in dims}
+    cells = cells.withColumn("u", F.col("factor") * c)
+    for d in dims:
+        over = Window.partitionBy(d)
+        cells = cells.withColumn(f"t_{d}", F.least(F.sum("tokens").over(over).cast("double"), F.sum(F.col("tokens") * F.col("factor")).over(over) * levels[d]))
+    gap = None
+    for _ in range(BOUND_SWEEPS // BLOCK):
+        if few:
+            cells = cells.repartition(1).sortWithinPartitions(*dims)
+        for _ in range(BLOCK):
+            for d in dims:
+                over, aim = Window.partitionBy(d), F.col(f"t_{d}")
+                cells = cells.withColumns({"capped": F.sum(F.when(F.col("u") >= 1, F.col("tokens")).otherwise(0)).over(over).cast("double"), "free": F.sum(F.when(F.col("u") < 1, F.col("tokens") * F.col("u")).otherwise(0.0)).over(over)})
+                # capped cells stay, free ones fill the rest; where capped ones are too many already, all shrink
+                step = F.when((F.col("capped") < aim) & (F.col("free") > 0), (aim - F.col("capped")) / F.col("free")).when(F.col("capped") > aim, aim / (F.col("capped") + F.col("free"))).otherwise(1.0)
+                cells = cells.withColumn("u", F.col("u") * step)
+        cells = work.table(cells.drop("capped", "free"), "bounded")
+        kept = F.col("tokens") * F.least(F.lit(1.0), F.col("u"))
+        apart = cells
+        for d in dims:
+            apart = apart.withColumn(f"off_{d}", F.abs(F.sum(kept).over(Window.partitionBy(d)) - F.col(f"t_{d}")))
+        before, gap = gap, max((x or 0.0) for x in apart.agg(*(F.max(f"off_{d}") for d in dims)).first()) / total
+        if gap < BOUND_CLOSE or before is not None and gap > 0.999 * before:
+            break
+    if gap >= BOUND_CLOSE:
+        warnings.warn(f"margins of the sample miss their targets by up to {gap:.6f} of all tokens", stacklevel=2)
+    return cells.withColumn("p", F.least(F.lit(1.0), F.col("u")))
+
+
 def uniform(id_: Column, seed: int) -> Column:
     """A number in [0, 1) by the MD5 of seed and id."""
     text = F.concat(F.lit(f"{seed}:"), F.coalesce(id_.cast("string"), F.lit("")))
@@ -137,9 +193,8 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     counted = rows.groupBy(*dims).agg(F.sum(token_count(F.col(text_col))).alias("tokens"), F.count("*").alias("docs"))
     given = {dims[i]: (targets or {})[d] for i, d in enumerate(("source", "lang", "topic")) if d in (targets or {})}
     cells, few = rake(work, counted, dims, temper, given)
-    c = _scale(cells, budget)
-    chance = F.least(F.lit(1.0), F.col("factor") * c) if c != float("inf") else F.lit(1.0)
-    plan = cells.select(*dims, F.col("factor").alias(names["weight"]), F.when(F.col("tokens") > 0, chance).otherwise(1.0).alias(names["p_include"]))
+    cells = bound(work, cells, dims, budget, few)
+    plan = cells.select(*dims, F.col("factor").alias(names["weight"]), F.when(F.col("tokens") > 0, F.col("p")).otherwise(1.0).alias(names["p_include"]))
     kept = rows.join(F.broadcast(plan) if few else plan, dims).where(uniform(F.col(id_col), seed) < F.col(names["p_include"]))
     kept = kept.withColumn(names["n_tokens"], token_count(F.col(text_col)))
     return kept.select(*docs.columns, *(names[x] for x in ("topic", "n_tokens", "weight", "p_include"))), names

@@ -1,6 +1,10 @@
 """Cases that a bound within the work would miss."""
 
-from millrace.llm import op01_secrets, op07_pii
+import numpy as np
+from pyspark.sql import functions as F
+
+from millrace.llm import op01_secrets, op04_mixing, op07_pii
+from millrace.llm.store import Workspace
 
 
 def test_terms_far_from_an_entity(spark):
@@ -21,3 +25,27 @@ def test_assigned_secrets_of_any_length(spark):
     rows = [(1, f'config token = "{value}" end', "src0"), (2, f"api_key: {value[:201]}", "src0")]
     found = op01_secrets.secret_findings(spark.createDataFrame(rows, "doc_id long, text string, source string"), op01_secrets.fit(spark)).collect()
     assert sorted((r.doc_id, r.start, r.end, r.kind, r.value) for r in found) == [(1, 16, 1016, "assigned", value), (2, 9, 210, "assigned", value[:201])]
+
+
+def test_margins_of_the_sample(spark):
+    rng = np.random.default_rng(5)
+    rows = [(f"s{i}", lang, topic, int(rng.integers(1, 400) * (1, 1, 30)[i % 3] * big), 1) for i in range(12) for lang, big in (("en", 8), ("fr", 2), ("de", 1)) for topic in ("prose", "brief", "tabular")]
+    counted = spark.createDataFrame(rows, "source string, lang string, topic string, tokens long, docs long")
+    dims, work, budget = ["source", "lang", "topic"], Workspace(spark, "bounds"), 0.6
+    cells, few = op04_mixing.rake(work, counted, dims, temper=0.7)
+    got = op04_mixing.bound(work, cells, dims, budget, few).collect()
+    total = sum(r.tokens for r in got)
+    assert max(r.factor for r in got) * budget > 1 and all(0 <= r.p <= 1 for r in got)
+    for d in dims:
+        own, aim, kept = ({v: sum(x(r) for r in got if r[d] == v) for v in {r[d] for r in got}} for x in (lambda r: r.tokens, lambda r: r.tokens * r.factor, lambda r: r.tokens * r.p))
+        # targets of values that have too few tokens go to the others in proportion
+        whole: set = set()
+        while True:
+            level = (budget * total - sum(own[v] for v in whole)) / sum(aim[v] for v in own if v not in whole)
+            more = {v for v in own if aim[v] * level >= own[v]}
+            if more <= whole:
+                break
+            whole |= more
+        for v in own:
+            assert abs(kept[v] - (own[v] if v in whole else aim[v] * level)) < 5e-4 * total, (d, v, kept[v] / total)
+    assert abs(sum(r.tokens * r.p for r in got) / total - budget) < 1e-3
