@@ -19,6 +19,10 @@ only where a count shows that they are at most `FEW_CELLS`.
 Targets of a margin are either given shares by value (values not named share
 the rest in proportion) or its own token shares to the power `temper`.
 
+Targets can contradict each other (sources of one language only, say). Raking
+then ends after `SWEEPS` sweeps: the last margin (topic) has its targets, the
+others don't, and a warning names the largest gap.
+
 Edge cases: null in a margin is a value like another (shown as an empty
 string); null and empty texts have no tokens, and their probability is that of
 their cell; cells without tokens are kept whole with their factor 1; a null id
@@ -105,8 +109,11 @@ def rake(work: Workspace, counted: DataFrame, dims: list[str], temper: float = 0
         apart = cells
         for d in dims:
             apart = apart.withColumn(f"off_{d}", F.abs(F.sum("w").over(Window.partitionBy(d)) - F.col(f"t_{d}")))
-        if max((x or 0.0) for x in apart.agg(*off).first()) < CLOSE:
+        gap = max((x or 0.0) for x in apart.agg(*off).first())
+        if gap < CLOSE:
             break
+    else:
+        warnings.warn(f"raking ended after {SWEEPS} sweeps: margins miss their targets by up to {gap:.6f}", stacklevel=2)
     return cells.select(*dims, "tokens", "docs", F.when(F.col("own") > 0, F.col("w") / F.col("own")).otherwise(1.0).alias("factor")), few
 
 

@@ -1,6 +1,9 @@
 """Cases that a bound within the work would miss."""
 
+import warnings
+
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from millrace.llm import op01_secrets, op04_mixing, op07_pii
@@ -49,3 +52,13 @@ def test_margins_of_the_sample(spark):
         for v in own:
             assert abs(kept[v] - (own[v] if v in whole else aim[v] * level)) < 5e-4 * total, (d, v, kept[v] / total)
     assert abs(sum(r.tokens * r.p for r in got) / total - budget) < 1e-3
+
+
+def test_raking_tells_of_targets_that_contradict_each_other(spark):
+    schema, work = "source string, lang string, topic string, tokens long, docs long", Workspace(spark, "apart")
+    rows = [("s0", "en", "prose", 900, 1), ("s1", "fr", "prose", 50, 1), ("s2", "fr", "prose", 50, 1)]
+    with pytest.warns(UserWarning, match="miss their targets"):
+        op04_mixing.rake(work, spark.createDataFrame(rows, schema), ["source", "lang", "topic"])
+    with warnings.catch_warnings():
+        warnings.simplefilter("error", UserWarning)
+        op04_mixing.rake(work, spark.createDataFrame([*rows, ("s1", "en", "prose", 70, 1)], schema), ["lang", "topic"])
