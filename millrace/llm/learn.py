@@ -13,9 +13,11 @@ TRAIN_ROWS = 8_000
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, id_col: str = "doc_id", rows: int = TRAIN_ROWS) -> DataFrame:
     """`docs` (id and text) with `label` 0 or 1, at most `rows` ids of each class in hash order.
 
-    The ids sampled are at most 2 * rows, so they are broadcast and `docs` isn't shuffled.
+    The ids sampled are at most 2 * rows, so they are broadcast and `docs` isn't
+    shuffled. An id that is labelled both 0 and 1 tells nothing and is left out.
     """
-    known = labels.where(F.col(id_col).isNotNull() & F.col(label).isin(0, 1)).select(F.col(id_col).alias("_id"), F.col(label).cast("int").alias("label")).dropDuplicates(["_id"])
+    known = labels.where(F.col(id_col).isNotNull() & F.col(label).isin(0, 1)).select(F.col(id_col).alias("_id"), F.col(label).cast("int").alias("label"))
+    known = known.groupBy("_id").agg(F.min("label").alias("label"), F.max("label").alias("_most")).where("label = _most").drop("_most")
     parts = [known.where(F.col("label") == y).orderBy(F.xxhash64("_id"), "_id").limit(rows) for y in (0, 1)]
     return docs.join(F.broadcast(parts[0].union(parts[1])), F.col(id_col) == F.col("_id")).drop("_id")
 

@@ -23,9 +23,10 @@ Targets can contradict each other (sources of one language only, say). Raking
 then ends after `SWEEPS` sweeps: the last margin (topic) has its targets, the
 others don't, and a warning names the largest gap.
 
-Edge cases: null in a margin is a value like another (shown as an empty
-string); null and empty texts have no tokens, and their probability is that of
-their cell; cells without tokens are kept whole with their factor 1; a null id
+Edge cases: null in a margin is one value with the empty string; null and empty
+texts have no tokens, and their probability is that of their cell; a very long
+text counts like any other; given shares that sum to more than 1 are divided by
+their sum, and values that aren't named then get nothing; cells without tokens are kept whole with their factor 1; a null id
 hashes as an empty string; repeated rows share their fate; an empty table gives
 an empty result; extra columns pass through.
 """
@@ -55,8 +56,8 @@ def topic_of(text: Column) -> Column:
 
 
 def token_count(text: Column) -> Column:
-    """Words between white space."""
-    return F.when(F.coalesce(F.trim(text), F.lit("")) == "", F.lit(0)).otherwise(F.size(F.split(F.trim(text), r"\s+"))).cast("long")
+    """Runs of anything but ASCII white space; a null text has none."""
+    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"\S+")).cast("long")
 
 
 def _targets(cells: DataFrame, dim: str, temper: float, given: dict[str, float] | None) -> Column:
@@ -94,7 +95,7 @@ def rake(work: Workspace, counted: DataFrame, dims: list[str], temper: float = 0
         fixed, loose = F.sum(F.greatest(value, F.lit(0.0))).over(over), F.sum(F.least(value, F.lit(0.0))).over(over)
         cells = cells.withColumns({"fixed": fixed, "loose": loose})
         rest = F.greatest(F.lit(1.0) - F.col("fixed"), F.lit(0.0))
-        share = F.when(F.col(f"raw_{d}") >= 0, F.when(F.col("loose") < 0, F.col(f"raw_{d}")).otherwise(F.col(f"raw_{d}") / F.col("fixed"))).otherwise(F.col(f"raw_{d}") / F.col("loose") * rest)
+        share = F.when(F.col(f"raw_{d}") >= 0, F.when(F.col("loose") < 0, F.col(f"raw_{d}") / F.greatest(F.col("fixed"), F.lit(1.0))).otherwise(F.col(f"raw_{d}") / F.col("fixed"))).otherwise(F.col(f"raw_{d}") / F.col("loose") * rest)
         cells = cells.withColumn(f"t_{d}", F.coalesce(share, F.lit(0.0))).drop("one", f"raw_{d}", "fixed", "loose")
     cells = cells.withColumn("w", F.col("own"))
     for _ in range(SWEEPS // BLOCK):

@@ -21,7 +21,8 @@ texts have the same terms and are one class. An entity that a third of all texts
 hold is a row per text with partial sums, never a list in one task.
 
 Edge cases: a null text is empty; repeated rows get the same result each; a
-null id is an id like another; an empty table gives an empty result; extra
+null id is an id like another; a very long text is read whole, in time that grows
+with its length and its matches; an empty table gives an empty result; extra
 columns are ignored (or kept by `sanitise`).
 """
 
@@ -29,7 +30,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from .spans import found, replaced
 from .store import Workspace
 from .words import fresh
 
@@ -69,25 +72,8 @@ def _valid(kind: str, match: Column) -> Column:
     return F.lit(True)
 
 
-def found(text: Column, pattern: str) -> Column:
-    """Array of (start, end, value) of a pattern's matches, in code points.
-
-    The text between matches gives the starts: both lists are cut by the same
-    matcher, and a running sum of their lengths turns them into places.
-    """
-    return F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.split(text, pattern, -1).alias("g"))
-
-
 def _spans(kind: str, text: Column) -> Column:
-    state = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,value:string>>").alias("out"))
-
-    def step(s: Column, x: Column) -> Column:
-        start = s["at"] + F.length(x["g"])
-        end = start + F.coalesce(F.length(x["m"]), F.lit(0))
-        keep = x["m"].isNotNull() & _valid(kind, x["m"])
-        return F.struct(end.alias("at"), F.when(keep, F.concat(s["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["m"].alias("value"))))).otherwise(s["out"]).alias("out"))
-
-    spans = F.aggregate(found(text, KINDS[kind]), state, step, lambda s: s["out"])
+    spans = F.filter(found(text, KINDS[kind]), lambda x: _valid(kind, x["value"]))
     return F.when(text.rlike(HINTS[kind]), spans).otherwise(F.array().cast("array<struct<start:int,end:int,value:string>>"))
 
 
@@ -107,17 +93,21 @@ def _terms(text: Column) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), F.lower))
 
 
-def _places(text: Column, terms: Column) -> Column:
-    """Where a text has one of the terms: array of (start, end, term), ordered."""
-    state = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,term:string>>").alias("out"))
-
-    def step(s: Column, x: Column) -> Column:
-        start = s["at"] + F.length(x["g"])
-        end = start + F.coalesce(F.length(x["m"]), F.lit(0))
-        item = F.struct(start.alias("start"), end.alias("end"), F.lower(x["m"]).alias("term"))
-        return F.struct(end.alias("at"), F.when(x["m"].isNotNull() & F.array_contains(terms, F.lower(x["m"])), F.concat(s["out"], F.array(item))).otherwise(s["out"]).alias("out"))
+def places(held: DataFrame, risky: DataFrame, base: DataFrame) -> DataFrame:
+    """(h, marked): where texts have their disclosing terms outside base spans, as an
+    array of (start, end, term) in order. `risky` has the terms (h, term) of texts.
 
-    return F.aggregate(found(text, WORD), state, step, lambda s: s["out"])
+    Places are rows; a running maximum over a text's rows tells what overlaps.
+    """
+    few = risky.select("h").distinct()
+    words = held.join(few, "h", "left_semi").select("h", F.explode(found(F.col("text"), WORD)).alias("x")).select("h", "x.start", "x.end", F.lower("x.value").alias("term"))
+    terms = words.join(risky, ["h", "term"], "left_semi").select("h", "start", "end", "term")
+    spans = base.join(few, "h", "left_semi").groupBy("h").agg(F.first("spans").alias("spans")).select("h", F.explode("spans").alias("s")).select("h", "s.start", "s.end", F.lit(None).cast("string").alias("term"))
+    up, down = Window.partitionBy("h").orderBy("start"), Window.partitionBy("h").orderBy(F.desc("start"))
+    span = F.col("term").isNull()
+    rows = terms.union(spans).withColumns({"before": F.max(F.when(span, F.col("end"))).over(up), "after": F.min(F.when(span, F.col("start"))).over(down)})
+    free = rows.where("term is not null and coalesce(before, 0) <= start and (after is null or after >= end)")
+    return free.groupBy("h").agg(F.array_sort(F.collect_list(F.struct("start", "end", "term"))).alias("marked"))
 
 
 def sensitive_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -137,13 +127,12 @@ def sensitive_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     held = docs.select(text_hash(text_col).alias("h"), text.alias("text")).join(F.broadcast(holders) if few else holders, "h", "left_semi")
     held = work.table(held.groupBy("h").agg(F.first("text").alias("text")), "held")
     risky = disclosures(docs.select(text.alias("text")), base.count(), shared, held)
-    by_text = shared.join(risky.select("class", "term"), "class").groupBy("h").agg(F.collect_set("term").alias("risky"))
-    marked = work.table(held.join(by_text, "h").select("h", _places(F.col("text"), F.col("risky")).alias("marked")), "marked")
+    by_text = work.table(shared.join(risky.select("class", "term"), "class").select("h", "term").distinct(), "risky")
+    marked = work.table(places(held, by_text, base), "marked")
     few = (marked.agg(F.sum(F.size("marked"))).first()[0] or 0) <= FEW_TERMS
     out = base.join(F.broadcast(marked) if few else marked, "h", "left")
     none = "cast(array() as array<struct<start:int,end:int,term:string>>)"
-    free = F.expr(f"filter(coalesce(marked, {none}), t -> not exists(spans, s -> s.start < t.end and t.start < s.end))")
-    return out.select("id", "h", "spans", free.alias("terms"))
+    return out.select("id", "h", "spans", F.coalesce("marked", F.expr(none)).alias("terms"))
 
 
 def text_hash(text_col: str) -> Column:
@@ -202,13 +191,6 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     spans = F.transform(base_spans(F.col(text_col)), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.upper(s["kind"]).alias("tag")))
     terms = F.transform(F.coalesce(F.col(names["_terms"]), F.expr("cast(array() as array<struct<start:int,end:int,term:string>>)")), lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), F.when(t["term"].rlike("^[0-9]+$"), "NUMBER").otherwise("TERM").alias("tag")))
     joined = joined.withColumn(names["_cuts"], F.array_sort(F.concat(spans, terms)))
-    text, cuts_col = F.col(text_col), F.col(names["_cuts"])
-    state = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-
-    def step(s: Column, x: Column) -> Column:
-        cut = F.substring(text, s["at"] + 1, F.greatest(x["start"] - s["at"], F.lit(0)))
-        inside = x["end"] <= s["at"]
-        return F.when(inside, s).otherwise(F.struct(x["end"].alias("at"), F.concat(s["out"], F.array(cut, F.concat(F.lit("["), x["tag"], F.lit("]")))).alias("out")))
-
-    clean = F.aggregate(cuts_col, state, step, lambda s: F.concat(F.array_join(s["out"], ""), F.substring(text, s["at"] + 1, F.length(text))))
-    return joined.withColumn(text_col, F.when(F.coalesce(F.size(cuts_col), F.lit(0)) == 0, text).otherwise(clean)).select(*docs.columns)
+    text, cuts = F.col(text_col), F.col(names["_cuts"])
+    clean = F.when(F.coalesce(F.size(cuts), F.lit(0)) == 0, text).otherwise(replaced(text, cuts))
+    return joined.withColumn(text_col, clean).select(*docs.columns)

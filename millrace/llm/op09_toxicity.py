@@ -4,8 +4,9 @@ Five transducers read the words of a clause: insult, threat, target, negation
 and reported speech. They are composed into one machine over the product of
 their states; an insult or a threat emits its weight times the factors of the
 state it is read in (negated, reported), and the clause's sum is raised at the
-end if a target was addressed. A text is judged by its matched clauses (their
-number, best and total score, threats at a target), never by words alone.
+end if a target was addressed. A text is judged by its matched clauses alone:
+their number, best and total score, the best score for a clause's length, threats
+and insults at a target, and clauses that a negation or a report weakens.
 
 The insult lexicon isn't given: words and word stems are mined from a bounded
 labelled sample by a likelihood ratio against clean texts. Clause features are
@@ -14,8 +15,10 @@ logistic regression turns them into a score.
 
 Edge cases: null and empty texts have no clauses and get the score of a text
 without matches; with labels of one class the score is their base rate; null or
-other labels are not learned; repeated rows are scored each; an empty table
-gives an empty result; extra columns pass through.
+other labels are not learned, nor those of an id that has both; repeated rows are
+scored each; a very long text is read whole; an empty table gives an empty
+result; extra columns pass through, and where one is called like a result, the
+result gets underscores in front of its name.
 """
 
 from __future__ import annotations
@@ -80,16 +83,19 @@ NEXT, FACTOR = compose(_NEGATION, _REPORT, _INSULT, _THREAT, _TARGET)
 THREAT_WEIGHT, LATE_TARGET = 2.0, 1.25
 
 
-def read_clause(symbols: np.ndarray, weights: np.ndarray) -> tuple[float, bool]:
-    """The clause's score, and whether it holds a threat at a target."""
-    state, total, aimed = 0, 0.0, False
+def read_clause(symbols: np.ndarray, weights: np.ndarray) -> tuple[float, bool, bool, bool]:
+    """The clause's score, whether it holds a threat at a target, whether an insult
+    at one, and whether a negation or a report weakens all that it says."""
+    state, total, aimed, weak = 0, 0.0, False, True
     for symbol, weight in zip(symbols.tolist(), weights.tolist(), strict=True):
         if symbol in (INSULT, THREAT):
-            total += weight * FACTOR[state, symbol]
+            factor = FACTOR[state, symbol]
+            total += weight * factor
             aimed |= state % 2 == 0
+            weak &= factor < 1
         state = NEXT[state, symbol]
-    has_target, has_threat = state % 2, state // 2 % 2
-    return total * (LATE_TARGET if has_target and aimed else 1.0), bool(has_target and has_threat)
+    has_target, has_threat, has_insult = state % 2, state // 2 % 2, state // 4 % 2
+    return total * (LATE_TARGET if has_target and aimed else 1.0), bool(has_target and has_threat), bool(has_target and has_insult), weak
 
 
 def _hash_words(text: str) -> np.ndarray:
@@ -152,19 +158,15 @@ def clause_features(raw: np.ndarray, off: np.ndarray, lexicons: list[Lexicon], w
     edges = np.searchsorted(clause, np.arange(clause[-1] + 2))
     for c in np.unique(clause[hits]):
         lo, hi = edges[c], edges[c + 1]
-        score, threat = read_clause(symbol[lo:hi], weight[lo:hi])
+        score, threat, insult, weak = read_clause(symbol[lo:hi], weight[lo:hi])
         x = out[w.text[lo]]
         x[0] += 1
         x[1] = max(x[1], score)
         x[2] += score
         x[3] += threat
-    insults = np.flatnonzero(symbol == INSULT)
-    t = w.text[insults]
-    out[:, 4] = np.bincount(t, minlength=w.texts)
-    np.maximum.at(out[:, 5], t, weight[insults])
-    if len(insults):
-        kinds = np.unique(np.stack([t.astype(np.uint64), h[insults]]), axis=1)[0].astype(np.int64)
-        out[:, 6] = np.bincount(kinds, minlength=w.texts)
+        x[4] += insult
+        x[5] = max(x[5], score / np.sqrt(hi - lo))
+        x[6] += weak
     out[:, 7] = out[:, 2] / np.sqrt(np.maximum(w.count, 1))
     out[:, [0, 2, 3, 4, 6]] = np.log1p(out[:, [0, 2, 3, 4, 6]])
     return out

@@ -7,8 +7,11 @@ which are compiled into Spark column expressions that score every text.
 
 Edge cases: null and empty texts have statistics 0 and are scored like any
 other; with no labels of both classes the score is the base rate (0.5 without
-labels); null or other labels than 0 and 1 are not learned; repeated rows are
-scored each; an empty table gives an empty result; extra columns pass through.
+labels); null or other labels than 0 and 1 are not learned, nor those of an id
+that has both; repeated rows are scored each; a very long text is one row of
+statistics like any other; an empty table gives an empty result; extra columns
+pass through, and where one is called like a result, the result gets underscores
+in front of its name.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .learn import forest, labelled_sample, logistic
-from .words import NOT_SPACE, Words, annotate, text_bytes
+from .words import NOT_SPACE, Words, annotate, fresh, text_bytes
 
 TREES, DEPTH, SEED = 40, 3, 11
 LASSO = 2e-3
@@ -158,5 +161,6 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str
 def score(docs: DataFrame, rules: Rules, text_col: str = "text") -> DataFrame:
     """`docs` with score and predicted, without the statistics."""
     stats, names = with_statistics(docs, text_col)
-    out = stats.withColumn("score", rules.score(names)).drop(*names.values())
-    return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    score_, predicted = fresh("score", docs.columns), fresh("predicted", docs.columns)
+    out = stats.select(*docs.columns, rules.score(names).alias(score_))
+    return out.withColumn(predicted, (F.col(score_) >= 0.5).cast("int"))
