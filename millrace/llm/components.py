@@ -35,6 +35,7 @@ def connect(work: Workspace, edges: DataFrame, labels: DataFrame | None = None)
 
     cur = edges if labels is None else contract(edges, found)
     while not cur.isEmpty():
+        had = (cur, found)
         both = cur.select(F.col("a").alias("id"), F.col("b").alias("other")).union(cur.select(F.col("b").alias("id"), F.col("a").alias("other")))
         near = work.table(both.groupBy("id").agg(F.least(F.col("id"), F.min("other")).alias("mid")), "near", rows)
         step = near.join(near.select(F.col("id").alias("mid"), F.col("mid").alias("top")), "mid").select("id", F.col("top").alias("component"))
@@ -42,4 +43,6 @@ def connect(work: Workspace, edges: DataFrame, labels: DataFrame | None = None)
         found = found.join(step.select(F.col("id").alias("component"), F.col("component").alias("top")), "component", "left").select("id", F.coalesce("top", "component").alias("component"))
         found = work.table(found, "labels", rows)
         cur = contract(cur, step)
+        # `edges` is the caller's and isn't known here; all else that came before has been read for the last time
+        work.drop(near, step, had[1], *([had[0]] if had[0] is not edges else []))
     return found

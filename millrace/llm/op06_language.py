@@ -7,28 +7,40 @@ normalised to bits a byte, ``phrases * log2(training length) / length``, and the
 language that needs fewest wins (ties: the smaller name).
 
 The parse follows the automaton's own transitions only, so that it is one table
-look-up a byte, done for all segments of a chunk of texts at once. Texts are
-parsed whole, in segments of `SEGMENT` bytes, each of which starts a phrase.
-
-Training is bounded: per language up to `TRAIN_DOCS` rows in the order of a hash
-of the id, and of each up to an equal share of `TRAIN_BYTES` bytes.
+look-up a byte, done for all segments of a chunk of texts at once. Segments of
+`SEGMENT` bytes are parsed as if a phrase began at each; then every segment is
+parsed again from the state in which the one before ended, until the two parses
+meet in one state, which they do after a phrase or so. So phrases cross the
+segments' borders, and a text is parsed whole.
+
+Training is on a bounded sample of labelled rows: the `LANGUAGES` commonest
+languages, and of each at most `TRAIN_DOCS` different texts in the order of a hash
+of id and text, those of up to `TRAIN_CHARS` characters before longer ones, until
+`TRAIN_BYTES` bytes are full. Texts are learned whole; only where a language's
+first text alone is longer is it cut there.
 
 Edge cases: a null text or one without a letter gives ``und`` and score 0; with
-no language learned all are ``und``; repeated rows are judged each; extra
-columns pass through.
+no language learned all are ``und``; null ids are an id like another; repeated
+rows count once in training and are judged each; a very long text is parsed whole,
+in chunks' memory; an empty table gives an empty result; extra columns pass
+through, and where one is called like a result, the result gets underscores in
+front of its name.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .words import LOWER, annotate, text_bytes
+from .words import LOWER, annotate, fresh, text_bytes
 
+LANGUAGES = 400
 TRAIN_DOCS = 200
-TRAIN_BYTES = 16_000
+TRAIN_CHARS = 2_000
+TRAIN_BYTES = 20_000
 SEGMENT = 512
 #: Bytes whose worth of evidence the score is for.
 EVIDENCE = 64
@@ -124,61 +136,94 @@ class Parser:
         length = end - at
         cls = np.append(self.classes[b], self.n_classes - 1).astype(np.int32)
         out = np.zeros((len(size), len(self.langs)))
-        state = [np.full(len(at), len(t) // self.n_classes - 1, np.int32) for t in self.tables]
-        found = [np.zeros(len(at), np.int32) for _ in self.langs]
-        for step in range(int(length.max(initial=0))):
-            open_ = int(np.searchsorted(-length, -step, side="left"))
-            c = cls[at[:open_] + step]
-            for x, table in enumerate(self.tables):
-                to = table[state[x][:open_] * self.n_classes + c].astype(np.int32)
-                found[x][:open_] += to & 1
-                state[x][:open_] = to >> 1
-        for x in range(len(self.langs)):
-            out[:, x] = np.bincount(owner, found[x], minlength=len(size)) * self.weight[x] / np.maximum(size, 1)
+        after = np.full(len(at), -1)  # the segment that goes on with the text
+        place = np.empty(len(at), np.int64)
+        place[order] = np.arange(len(at))
+        goes_on = np.flatnonzero(np.repeat(np.cumsum(n), n) - 1 > np.arange(n.sum()))
+        after[place[goes_on]] = place[goes_on + 1]
+        base = np.concatenate([[0], np.cumsum(length)])
+        for x, table in enumerate(self.tables):
+            found = self._parse(table, cls, at, length, base, after)
+            out[:, x] = np.bincount(owner, found, minlength=len(size)) * self.weight[x] / np.maximum(size, 1)
         return out
 
-
-def _wanted(lang_col: str, sizes: dict[str, int]) -> Column:
-    """Characters to take of a text, so that few texts of a language give more each."""
-    out = F.lit(TRAIN_BYTES)
-    for lang, n in sorted(sizes.items()):
-        out = F.when(F.col(lang_col) == lang, max(4 * TRAIN_BYTES // max(min(n, TRAIN_DOCS), 1), 1)).otherwise(out)
-    return out
-
-
-def _middle(text: Column, n: Column) -> Column:
-    """The n characters in the middle of a text."""
-    return F.substring(text, F.greatest(F.lit(1), ((F.length(text) - n) / 2).cast("int") + 1), n)
+    def _parse(self, table: np.ndarray, cls: np.ndarray, at: np.ndarray, length: np.ndarray, base: np.ndarray, after: np.ndarray) -> np.ndarray:
+        """Phrases that begin in each segment; segments come longest first."""
+        start = len(table) // self.n_classes - 1
+        state = np.full(len(at), start, np.int32)
+        found = np.zeros(len(at), np.int64)
+        trace = np.empty(base[-1], np.int32)  # state and phrase by segment and step
+        for step in range(int(length.max(initial=0))):
+            open_ = int(np.searchsorted(-length, -step, side="left"))
+            to = table[state[:open_] * self.n_classes + cls[at[:open_] + step]].astype(np.int32)
+            trace[base[:open_] + step] = to
+            found[:open_] += to & 1
+            state[:open_] = to >> 1
+        # from the state in which the segment before ended, until both parses are in one state
+        todo = np.flatnonzero(after >= 0)
+        now, enters = after[todo], state[todo]
+        while len(now):
+            step, left, changed = 0, np.arange(len(now)), []
+            cur = enters.copy()
+            while len(left):
+                seg = now[left]
+                ended = step >= length[seg]
+                if ended.any():
+                    changed.append(left[ended])
+                    left, seg = left[~ended], seg[~ended]
+                    if not len(left):
+                        break
+                to = table[cur[left] * self.n_classes + cls[at[seg] + step]].astype(np.int32)
+                had = trace[base[seg] + step]
+                found[seg] += (to & 1) - (had & 1)
+                trace[base[seg] + step] = to
+                cur[left] = to >> 1
+                left = left[(to >> 1) != (had >> 1)]
+                step += 1
+            # a segment that never met ends in another state, which the next one begins in
+            moved = np.concatenate(changed) if changed else np.zeros(0, np.int64)
+            moved = moved[after[now[moved]] >= 0]
+            now, enters = after[now[moved]], cur[moved]
+        return found
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Parser:
     """Automata from `docs`, all of whose rows with a language may be learned from.
 
-    The languages themselves must be a bounded set; each gives at most
-    TRAIN_DOCS rows, and of each text the bytes in its middle.
+    What comes to the driver is at most LANGUAGES * TRAIN_DOCS hashes, and then texts
+    of TRAIN_BYTES bytes (or one text) for each language.
     """
-    known = docs.where(F.col(lang_col).isNotNull())
-    sizes = {r[0]: r[1] for r in known.groupBy(lang_col).agg(F.count("*")).collect()}
-    # by a bound on the hash of the id a few more rows come than are needed
-    bound = F.lit(0.0)
-    for lang, n in sorted(sizes.items()):
-        bound = F.when(F.col(lang_col) == lang, min(1.0, 2.0 * TRAIN_DOCS / n)).otherwise(bound)
-    h = F.pmod(F.xxhash64(id_col), F.lit(1 << 32))
-    rows = known.where((h < bound * float(1 << 32)) & F.col(text_col).rlike(r"\p{L}"))
-    pieces_of: dict[str, list] = {}
-    for r in rows.select(F.col(lang_col).alias("lang"), h.alias("h"), _middle(F.col(text_col), _wanted(lang_col, sizes)).alias("t")).collect():
-        pieces_of.setdefault(r.lang, []).append((r.h, r.t))
+    known = docs.where(F.col(lang_col).isNotNull() & F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)))
+    order = F.struct((F.length(text_col) > TRAIN_CHARS).alias("long"), F.xxhash64(F.col(id_col).cast("string"), text_col).alias("h"))
+    known = known.select(F.col(lang_col).alias("lang"), order.alias("o"), F.octet_length(text_col).alias("n"), F.col(text_col).alias("t"))
+    common = [r.lang for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
+    if not common:
+        return Parser({})
+    # the smallest of each task go on before the shuffle, so a language of many rows doesn't meet in one task
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("o"))
+    first = known.where(F.col("lang").isin(common)).groupBy("lang", "o").agg(F.first("n").alias("n"))
+    wanted: dict[str, list] = {}
+    for r in first.withColumn("r", rank).where(F.col("r") <= TRAIN_DOCS).select("lang", "o", "n").collect():
+        wanted.setdefault(r.lang, []).append((r.o.long, r.o.h, r.n))
+    keys: list[int] = []
+    for lang, rows in sorted(wanted.items()):
+        total = 0
+        for i, (_, h, n) in enumerate(sorted(rows)):
+            if i and total + n > TRAIN_BYTES:
+                break
+            keys.append(h)
+            total += n
+    pieces: dict[str, dict[int, str]] = {}
+    sample = known.where(F.col("lang").isin(common)).join(F.broadcast(docs.sparkSession.createDataFrame([(k,) for k in keys], "k long")), F.col("o.h") == F.col("k"))
+    for r in sample.groupBy("lang", "k").agg(F.first(F.substring("t", 1, TRAIN_BYTES)).alias("t")).collect():
+        pieces.setdefault(r.lang, {})[r.k] = r.t
     texts = {}
-    for lang, got in pieces_of.items():
-        got = sorted(got)[:TRAIN_DOCS]
-        share = max(TRAIN_BYTES // len(got), 1)
-        pieces = []
-        for _, t in got:
-            raw = np.frombuffer(t.encode(), np.uint8)
-            b, _ = fold(raw, np.array([0, len(raw)]))
-            mid = max(0, (len(b) - share) // 2)
-            pieces.append(b[mid : mid + share].tobytes())
-        texts[lang] = b" ".join(pieces)[: TRAIN_BYTES + len(pieces)]
+    for lang, got in pieces.items():
+        folded = []
+        for _, t in sorted(got.items()):
+            raw = np.frombuffer(t.encode()[:TRAIN_BYTES], np.uint8)
+            folded.append(fold(raw, np.array([0, len(raw)]))[0].tobytes())
+        texts[lang] = b" ".join(folded)
     return Parser(texts)
 
 
@@ -195,7 +240,8 @@ def predict(docs: DataFrame, parser: Parser, text_col: str = "text") -> tuple[Da
         return [pa.array([p.langs[i] for i in best], pa.string()), pa.array(score)]
 
     if not parser.langs:
-        return docs.withColumns({"lang_pred": F.lit("und"), "score": F.lit(0.0)}), {"lang_pred": "lang_pred", "score": "score"}
+        names = {c: fresh(c, docs.columns) for c in ("lang_pred", "score")}
+        return docs.withColumns({names["lang_pred"]: F.lit("und"), names["score"]: F.lit(0.0)}), names
     out, names = annotate(docs, fn, {"lang_pred": "string", "score": "double"}, text_col)
     letters = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
     return out.withColumns({names["lang_pred"]: F.when(letters, F.col(names["lang_pred"])).otherwise("und"), names["score"]: F.when(letters, F.col(names["score"])).otherwise(0.0)}), names
