@@ -8,9 +8,20 @@ from pyspark.sql.window import Window
 
 
 def latest(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """The last version of each key. Pre-aggregated: versions of a key don't meet in one task first."""
-    rest = [c for c in df.columns if c not in keys]
-    best = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("v"))
+    """The last version of each key, of equal ones the largest by its other columns.
+
+    A maximum over one struct that begins with the order: pre-aggregated, so versions
+    of a key don't meet in one task first, and no column travels twice.
+    """
+    first = [c for c in order if c not in keys]
+    rest = [c for c in df.columns if c not in keys and c not in first]
+    if not first + rest:
+        return df.select(*keys).distinct()
+    sortable = [c for c in rest if "map<" not in df.schema[c].dataType.simpleString()]
+    if len(sortable) < len(rest):  # maps have no order
+        best = df.groupBy(*keys).agg(F.max_by(F.struct(*first, *rest), F.struct(*first, *sortable)).alias("v"))
+    else:
+        best = df.groupBy(*keys).agg(F.max(F.struct(*first, *rest)).alias("v"))
     return best.select(*(F.col(c) if c in keys else F.col(f"v.{c}").alias(c) for c in df.columns))
 
 

@@ -57,11 +57,18 @@ def cart_add_users(cart_add: DataFrame, size: str = SIZE) -> DataFrame:
     return tumble(daily_users(x, "user_id", "date", "et"), "et", size, [], cart_add_uu_ct=F.count("*"))
 
 
+def _last_lines(detail: DataFrame, *columns: str) -> DataFrame:
+    """The last version of each line by time, then by amount as a number, with `et`;
+    only what is needed travels."""
+    total = F.col("split_total_amount").cast(AMOUNT).alias("split_total_amount")
+    return latest(detail.select("id", "ts", total, *columns), ["id"], ["ts", "split_total_amount"]).withColumn("et", from_seconds(F.col("ts")))
+
+
 def province_order(detail: DataFrame, province: DataFrame, size: str = SIZE) -> DataFrame:
     """Orders and amounts by province; repeated lines count once, with their last version."""
-    x = latest(detail, ["id"], ["ts", "split_total_amount"]).withColumn("et", from_seconds(F.col("ts")))
+    x = _last_lines(detail, "province_id", "order_id")
     # one row per order first: the distinct count becomes a sum
-    orders = x.groupBy("province_id", "order_id", F.window("et", size).alias("w")).agg(F.sum(F.col("split_total_amount").cast(AMOUNT)).alias("amount"))
+    orders = x.groupBy("province_id", "order_id", F.window("et", size).alias("w")).agg(F.sum("split_total_amount").alias("amount"))
     orders = orders.select("province_id", "amount", F.col("w.start").alias("et"))
     out = tumble(orders, "et", size, ["province_id"], order_count=F.count("*"), order_amount=F.sum("amount"))
     named = enrich(out, province, "province_id", "id", {"name": "province_name"}).withColumn("province_name", F.coalesce("province_name", F.lit("")))
@@ -70,7 +77,7 @@ def province_order(detail: DataFrame, province: DataFrame, size: str = SIZE) ->
 
 def sku_order(detail: DataFrame, dims: dict[str, DataFrame], size: str = SIZE) -> DataFrame:
     """Amounts by product, summed before the chain of dimension joins."""
-    x = latest(detail, ["id"], ["ts", "split_total_amount"]).withColumn("et", from_seconds(F.col("ts")))
+    x = _last_lines(detail, "sku_id", "split_original_amount", "split_activity_amount", "split_coupon_amount")
     money = lambda c: F.sum(F.coalesce(F.col(c).cast(AMOUNT), F.lit(0).cast(AMOUNT)))
     out = tumble(x, "et", size, ["sku_id"], original_amount=money("split_original_amount"), activity_reduce_amount=money("split_activity_amount"), coupon_reduce_amount=money("split_coupon_amount"), order_amount=money("split_total_amount"))
     out = snowflake(

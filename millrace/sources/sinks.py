@@ -18,11 +18,13 @@ def to_kafka(df: DataFrame, servers: str, checkpoint: str, topic: str | None = N
     return out.option("topic", topic) if topic else out
 
 
-def keyed(df: DataFrame, key: str, value: str | None = None) -> DataFrame:
-    """(key, value) for an upsert topic: JSON of the row, or null for deletions (op '-D')."""
-    body = F.col(value) if value else bean_json(df, hidden=("op",))
+def keyed(df: DataFrame, key: str, value: str | None = None, order: str | None = None) -> DataFrame:
+    """(key, value) for an upsert topic: JSON of the row, or null for deletions (op '-D');
+    an `order` column stays beside them."""
+    beside = [order] if order else []
+    body = F.col(value) if value else bean_json(df, hidden=("op", *beside))
     gone = (F.col("op") == "-D") if "op" in df.columns else F.lit(False)
-    return df.select(F.col(key).cast("string").alias("key"), F.when(gone, F.lit(None)).otherwise(body).alias("value"))
+    return df.select(F.col(key).cast("string").alias("key"), F.when(gone, F.lit(None)).otherwise(body).alias("value"), *beside)
 
 
 def latest_per_key(messages: DataFrame, order: str) -> DataFrame:
