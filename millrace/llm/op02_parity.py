@@ -168,7 +168,7 @@ def _profile(k: int):
         g, text = shingle_sets(w, k)
         size = np.bincount(text, minlength=w.texts).astype(np.int64)
         sk, words = parity_sketch(g, text, size)
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), pa.array(fingerprint(g, text, size)), list_column(sk, words, pa.int64())], ["id", "n", "fp", "sketch"])
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(size), pa.array(fingerprint(g, text, size)), list_column(sk, words, pa.int64())], ["id", "h", "n", "fp", "sketch"])
 
     return fn
 
@@ -347,18 +347,19 @@ def buckets(work: Workspace, base: DataFrame, nodes: int, k: int, num: int, den:
 
 def jaccard_classes(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of `docs`: id, n_shingles, component_id (smallest id reachable by
-    links) and n_links (links of the row's set that were verified; links implied by a
-    common component aren't looked for)."""
+    links), n_links (links of the row's set that were verified; links implied by a
+    common component aren't looked for) and text_hash (xxhash64 of the text)."""
     spark = docs.sparkSession
     work = Workspace(spark, "parity")
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     known = base.where("id is not null")
-    profile = work.table(map_texts(base, _profile(k), "id long, n long, fp long, sketch array<long>"), "profile")
+    hashed = base.select("id", "text", F.xxhash64("text").alias("h"))
+    profile = work.table(map_texts(hashed, _profile(k), "id long, h long, n long, fp long, sketch array<long>"), "profile")
     rows = profile.count()
     own = profile.where("n > 0 and id is not null")
     # one node for each distinct set
     nodes = work.table(own.groupBy("fp").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "nodes", rows)
-    of_rows = work.table(profile.select("id", "n", "fp"), "rows", rows)
+    of_rows = work.table(profile.select("id", "h", "n", "fp"), "rows", rows)
     work.drop(profile)
     n_nodes = nodes.count()
     members = work.table(buckets(work, known, n_nodes, k, num, den), "members")
@@ -426,6 +427,6 @@ def jaccard_classes(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     least = classes.groupBy("component").agg(F.min("id").alias("component_id"))
     classes = classes.join(least, "component").select("fp", "component_id", "n_links")
     out = of_rows.withColumn("fp", F.when(F.expr("n > 0 and id is not null"), F.col("fp"))).join(classes, "fp", "left")
-    out = work.table(out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "out", rows)
+    out = work.table(out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.col("h").alias("text_hash")), "out", rows)
     work.drop(nodes, members, hubs, tried, of_rows)
     return out

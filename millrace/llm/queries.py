@@ -17,7 +17,7 @@ def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose 4-word shingle sets have a Jaccard of 0.85 or more."""
     from .op02_parity import jaccard_classes
 
-    return jaccard_classes(table(spark, sf_dir, "documents"), k=4, num=85, den=100).drop("n_links")
+    return jaccard_classes(table(spark, sf_dir, "documents"), k=4, num=85, den=100).drop("n_links", "text_hash")
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
