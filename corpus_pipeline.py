@@ -18,6 +18,8 @@ from millrace.llm.words import fresh
 
 #: Most ids of dropped copies that are broadcast; more are joined by shuffle.
 FEW_IDS = 500_000
+#: Words of a benchmark item that a document mustn't hold in a row.
+WINDOW = 10
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,13 +35,16 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group linked by five-word shingles with a Jaccard of 0.8 or more
     the document with the smallest id stays; of rows with one id, one row.
-    Documents without words or id link with nothing and stay."""
+    Documents without words link with nothing and stay, as do those without an id."""
     classes = op02_parity.jaccard_classes(docs, k=5, num=80, den=100)
-    gone, once = fresh("_gone", docs.columns), fresh("_row", docs.columns)
-    drop = classes.where("doc_id <> component_id").select(F.col("doc_id").alias(gone)).distinct()
+    gone, text, once = (fresh(c, docs.columns) for c in ("_gone", "_text", "_row"))
+    rows = classes.where("doc_id is not null").groupBy("doc_id", "text_hash", "component_id").agg(F.count("*").alias("n"))
+    first = rows.where("doc_id = component_id").groupBy("doc_id").agg(F.min("text_hash").alias("stays"))
+    # a row is known by id and text; nearly all are the only one of their id, and stay
+    drop = rows.join(first, "doc_id", "left").where("doc_id <> component_id or text_hash <> stays").select(F.col("doc_id").alias(gone), F.col("text_hash").alias(text))
     few = drop.count() <= FEW_IDS
-    kept = docs.join(F.broadcast(drop) if few else drop, F.col("doc_id") == F.col(gone), "left_anti")
-    if classes.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
+    kept = docs.join(F.broadcast(drop) if few else drop, (F.col("doc_id") == F.col(gone)) & (F.xxhash64("text") == F.col(text)), "left_anti")
+    if rows.where("n > 1").isEmpty():
         return kept
     # rows of one id and text are copies too
     same = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.lit(1))
@@ -47,8 +52,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a window of ten words of a benchmark item go."""
-    found, names = op05_decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"), width=10)
+    """Documents that hold ten consecutive words of a benchmark item go.
+
+    An item of fewer words, such as a short answer, stands in clean documents too,
+    and doesn't make them go.
+    """
+    items = table(spark, sf_dir, "benchmark")
+    words = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"))
+    found, names = op05_decontaminate.contamination(docs, items.where(words >= WINDOW), width=WINDOW)
     return found.where(~F.col(names["contaminated"])).select(*docs.columns)
 
 
@@ -72,9 +83,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents."""
+    """All stages over documents; each stage's table goes when the next one is written."""
     work = Workspace(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = work.table(stage(spark, docs, sf_dir), name)
+        before, docs = docs, work.table(stage(spark, docs, sf_dir), name)
+        work.drop(before)
     return docs
