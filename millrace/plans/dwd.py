@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.cdc import became, data, grew, of_table, old, project, route_dimensions, route_facts, went
-from ..operators.joins import lookup_join
+from ..operators.joins import interval_join, lookup_join
 
 MONEY = "decimal(16,2)"
 
@@ -20,6 +20,14 @@ def day(text: Column) -> Column:
     return F.date_format(text, "yyyy-MM-dd")
 
 
+def _meet(left: DataFrame, right: DataFrame, keys: list[str], near: tuple[str, str] | None) -> DataFrame:
+    """Rows with equal keys; with `near`, the right time must be within (before, after) of
+    the left one, which lets a stream drop its state."""
+    if near is None:
+        return left.join(right.drop("et"), keys)
+    return interval_join(left, right, keys, *near).drop(*(f"r_{k}" for k in keys), "r_et")
+
+
 def cart_add(changes: DataFrame) -> DataFrame:
     """Cart insertions, and the growth of a cart line's number."""
     rows = of_table(changes, "cart_info").where((F.col("type") == "insert") | ((F.col("type") == "update") & grew("sku_num")))
@@ -52,10 +60,10 @@ ORDER_DETAIL = [
 ]
 
 
-def order_cancel(changes: DataFrame, detail: DataFrame) -> DataFrame:
+def order_cancel(changes: DataFrame, detail: DataFrame, near: tuple[str, str] | None = None) -> DataFrame:
     """Lines of orders whose status went from 1001 to 1003."""
-    gone = of_table(changes, "order_info", "update").where(went("order_status", "1001", "1003")).select(data("id").alias("order_id"), data("operate_time").alias("cancel_time"), F.col("ts").alias("_ts"))
-    out = gone.join(detail.drop("date_id", "ts"), "order_id").withColumns({"date_id": day(F.col("cancel_time")), "ts": F.col("_ts")})
+    gone = of_table(changes, "order_info", "update").where(went("order_status", "1001", "1003")).select(data("id").alias("order_id"), data("operate_time").alias("cancel_time"), F.col("ts").alias("_ts"), "et")
+    out = _meet(gone, detail.drop("date_id", "ts"), ["order_id"], near).withColumns({"date_id": day(F.col("cancel_time")), "ts": F.col("_ts")})
     return out.select(*("cancel_time" if c == "create_time" else c for c in ORDER_DETAIL))
 
 
@@ -64,7 +72,7 @@ def pay_success(changes: DataFrame, detail: DataFrame, dic: DataFrame) -> DataFr
     paid = of_table(changes, "payment_info", "update").where(became("payment_status", "1602")).select(
         data("user_id").alias("user_id"), data("order_id").alias("order_id"), data("payment_type").alias("payment_type_code"), data("callback_time").alias("callback_time"), "ts", "et"
     )
-    lines = detail.select(*(F.col(c).alias(f"d_{c}") for c in detail.columns if c not in ("date_id", "create_time")), F.timestamp_seconds(F.col("ts")).alias("d_et"))
+    lines = detail.select(*(F.col(c).alias(f"d_{c}") for c in detail.columns if c not in ("date_id", "create_time", "et")), (F.col("et") if "et" in detail.columns else F.timestamp_seconds(F.col("ts"))).alias("d_et"))
     near = (F.col("order_id") == F.col("d_order_id")) & (F.col("d_et") >= F.col("et") - F.expr("interval 30 minutes")) & (F.col("d_et") <= F.col("et") + F.expr("interval 5 seconds"))
     out = lookup_join(paid.join(lines, near), dic, "payment_type_code", "dic_code", "dic_name", "payment_type_name")
     return out.select(
@@ -74,11 +82,11 @@ def pay_success(changes: DataFrame, detail: DataFrame, dic: DataFrame) -> DataFr
     )
 
 
-def order_refund(changes: DataFrame, dic: DataFrame) -> DataFrame:
+def order_refund(changes: DataFrame, dic: DataFrame, near: tuple[str, str] | None = None) -> DataFrame:
     """Refund requests of orders whose status became 1005; two look-ups in one dictionary."""
-    refund = of_table(changes, "order_refund_info", "insert").select(*(data(k).alias(k) for k in ("id", "user_id", "order_id", "sku_id", "refund_type", "refund_num", "refund_amount", "refund_reason_type", "refund_reason_txt", "create_time")), "ts")
-    info = of_table(changes, "order_info", "update").where(became("order_status", "1005")).select(data("id").alias("order_id"), data("province_id").alias("province_id"))
-    out = refund.join(info, "order_id")
+    refund = of_table(changes, "order_refund_info", "insert").select(*(data(k).alias(k) for k in ("id", "user_id", "order_id", "sku_id", "refund_type", "refund_num", "refund_amount", "refund_reason_type", "refund_reason_txt", "create_time")), "ts", "et")
+    info = of_table(changes, "order_info", "update").where(became("order_status", "1005")).select(data("id").alias("order_id"), data("province_id").alias("province_id"), "et")
+    out = _meet(refund, info, ["order_id"], near)
     out = lookup_join(out, dic, "refund_type", "dic_code", "dic_name", "refund_type_name")
     out = lookup_join(out, dic, "refund_reason_type", "dic_code", "dic_name", "refund_reason_type_name")
     return out.select(
@@ -87,12 +95,12 @@ def order_refund(changes: DataFrame, dic: DataFrame) -> DataFrame:
     )
 
 
-def refund_pay_success(changes: DataFrame, dic: DataFrame) -> DataFrame:
+def refund_pay_success(changes: DataFrame, dic: DataFrame, near: tuple[str, str] | None = None) -> DataFrame:
     """Refunds that were paid, with the refunded line and its order."""
-    paid = of_table(changes, "refund_payment", "update").where(became("refund_status", "1602")).select(*(data(k).alias(k) for k in ("id", "order_id", "sku_id", "payment_type", "callback_time", "total_amount")), "ts")
-    line = of_table(changes, "order_refund_info", "update").where(became("refund_status", "0705")).select(*(data(k).alias(k) for k in ("order_id", "sku_id", "refund_num")))
-    info = of_table(changes, "order_info", "update").where(became("order_status", "1006")).select(data("id").alias("order_id"), data("user_id").alias("user_id"), data("province_id").alias("province_id"))
-    out = lookup_join(paid.join(line, ["order_id", "sku_id"]).join(info, "order_id"), dic, "payment_type", "dic_code", "dic_name", "payment_type_name")
+    paid = of_table(changes, "refund_payment", "update").where(became("refund_status", "1602")).select(*(data(k).alias(k) for k in ("id", "order_id", "sku_id", "payment_type", "callback_time", "total_amount")), "ts", "et")
+    line = of_table(changes, "order_refund_info", "update").where(became("refund_status", "0705")).select(*(data(k).alias(k) for k in ("order_id", "sku_id", "refund_num")), "et")
+    info = of_table(changes, "order_info", "update").where(became("order_status", "1006")).select(data("id").alias("order_id"), data("user_id").alias("user_id"), data("province_id").alias("province_id"), "et")
+    out = lookup_join(_meet(_meet(paid, line, ["order_id", "sku_id"], near), info, ["order_id"], near), dic, "payment_type", "dic_code", "dic_name", "payment_type_name")
     return out.select("id", "user_id", "order_id", "sku_id", "province_id", F.col("payment_type").alias("payment_type_code"), "payment_type_name", day(F.col("callback_time")).alias("date_id"), "callback_time", "refund_num", F.col("total_amount").alias("refund_amount"), "ts")
 
 

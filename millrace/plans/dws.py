@@ -17,29 +17,30 @@ SIZE = "10 seconds"
 AMOUNT = "decimal(38,4)"
 
 
-def _pages(pages: DataFrame) -> DataFrame:
-    """Page rows with their fields flat, `et` and `date`."""
+def page_views(pages: DataFrame, delay: str = "0 seconds") -> DataFrame:
+    """Page rows with their fields flat, `et` and `date`; of a stream, with a watermark."""
     fields = {"mid": "common.mid", "uid": "common.uid", "vc": "common.vc", "ch": "common.ch", "ar": "common.ar", "is_new": "common.is_new"}
     fields |= {x: f"page.{x}" for x in ("page_id", "last_page_id", "item", "item_type", "during_time")}
-    return pages.select(*(F.col(p).alias(n) for n, p in fields.items()), "ts", from_millis(F.col("ts")).alias("et"), date_of_millis(F.col("ts")).alias("date"))
+    out = pages.select(*(F.col(p).alias(n) for n, p in fields.items()), "ts", from_millis(F.col("ts")).alias("et"), date_of_millis(F.col("ts")).alias("date"))
+    return out.withWatermark("et", delay) if pages.isStreaming else out
 
 
 def keyword_page_view(pages: DataFrame, size: str = SIZE, dictionary: tuple[str, ...] = ()) -> DataFrame:
     """Searches counted by keyword."""
-    found = _pages(pages).where((F.col("last_page_id") == "search") & (F.col("item_type") == "keyword") & F.col("item").isNotNull())
+    found = page_views(pages).where((F.col("last_page_id") == "search") & (F.col("item_type") == "keyword") & F.col("item").isNotNull())
     return tumble(explode_keywords(found, "item", "keyword", dictionary), "et", size, ["keyword"], keyword_count=F.count("*"))
 
 
 def traffic_page_view(pages: DataFrame, size: str = SIZE) -> DataFrame:
     """Unique visitors, sessions, views and durations by version, channel, area and newness."""
     dims = ["vc", "ch", "ar", "is_new"]
-    x = traffic_measures(_pages(pages), dims, "mid", "date", "et", ["ts", "page_id"], is_empty(F.col("last_page_id")), F.col("during_time"))
+    x = traffic_measures(page_views(pages), dims, "mid", "date", "et", ["ts", "page_id"], is_empty(F.col("last_page_id")), F.col("during_time"))
     return tumble(x, "et", size, dims, uv_ct=F.sum("uv_ct"), sv_ct=F.sum("sv_ct"), pv_ct=F.sum("pv_ct"), dur_sum=F.sum("dur_sum"))
 
 
 def home_detail_page_view(pages: DataFrame, size: str = SIZE) -> DataFrame:
     """Daily unique visitors of the home page and of product pages, apart from each other."""
-    x = _pages(pages).where(F.col("page_id").isin("home", "good_detail"))
+    x = page_views(pages).where(F.col("page_id").isin("home", "good_detail"))
     firsts = first_of_day(x, ["mid", "page_id", "date"], ["ts"], ["et"])
     one = lambda p: F.sum((F.col("page_id") == p).cast("long"))
     return tumble(firsts, "et", size, [], home_uv_ct=one("home"), good_detail_uv_ct=one("good_detail"))
@@ -47,7 +48,7 @@ def home_detail_page_view(pages: DataFrame, size: str = SIZE) -> DataFrame:
 
 def user_login(pages: DataFrame, size: str = SIZE) -> DataFrame:
     """Users that logged in, and those back after eight days or more."""
-    x = _pages(pages).where(is_login(F.col("uid"), F.col("last_page_id")))
+    x = page_views(pages).where(is_login(F.col("uid"), F.col("last_page_id")))
     return tumble(logins(x, "uid", "date", "et"), "et", size, [], back_ct=F.sum("back_ct"), uu_ct=F.sum("uu_ct"))
 
 
@@ -80,8 +81,13 @@ def sku_order(detail: DataFrame, dims: dict[str, DataFrame], size: str = SIZE) -
     x = _last_lines(detail, "sku_id", "split_original_amount", "split_activity_amount", "split_coupon_amount")
     money = lambda c: F.sum(F.coalesce(F.col(c).cast(AMOUNT), F.lit(0).cast(AMOUNT)))
     out = tumble(x, "et", size, ["sku_id"], original_amount=money("split_original_amount"), activity_reduce_amount=money("split_activity_amount"), coupon_reduce_amount=money("split_coupon_amount"), order_amount=money("split_total_amount"))
+    return with_product(out, dims)
+
+
+def with_product(sums: DataFrame, dims: dict[str, DataFrame]) -> DataFrame:
+    """Sums by sku_id with the product, its group, its trademark and its categories."""
     out = snowflake(
-        out,
+        sums,
         (dims["sku"], "sku_id", "id", {"sku_name": "sku_name", "spu_id": "spu_id", "category3_id": "category3_id", "tm_id": "trademark_id"}),
         (dims["spu"], "spu_id", "id", {"spu_name": "spu_name"}),
         (dims["trademark"], "trademark_id", "id", {"tm_name": "trademark_name"}),

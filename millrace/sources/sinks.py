@@ -54,16 +54,36 @@ def by_topic(path: str) -> Callable[[DataFrame, int], None]:
 
 
 def dimension_merge(path: str, order: str = "seq") -> Callable[[DataFrame, int], None]:
-    """foreachBatch: routed changes are added to a log, from which rows are merged.
+    """foreachBatch: routed changes are merged into the rows of the version before.
 
-    The log is kept per batch id, so a replayed batch replaces itself; the merged
-    table is written beside it and named by the batch.
+    Each micro-batch writes a version named by it, so a replayed batch replaces
+    itself; versions before the last go, so work and space follow the rows and the
+    batch, not the history.
     """
+    keys = ["sink_table", "row_key"]
 
     def write(df: DataFrame, batch: int) -> None:
-        df.write.mode("overwrite").parquet(f"{path}/log/batch={batch}")
-        log = df.sparkSession.read.parquet(f"{path}/log").where(F.col("batch") <= batch)
-        merge_rows(log, order).write.mode("overwrite").parquet(f"{path}/rows/version={batch}")
+        spark, root = df.sparkSession, f"{path}/rows"
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+        fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        names = [x.getPath().getName() for x in fs.listStatus(at)] if fs.exists(at) else []
+        before = sorted(int(x.split("=")[1]) for x in names if x.startswith("version=") and int(x.split("=")[1]) < batch)
+        routed = df.persist()
+        try:
+            rows = merge_rows(routed, order)
+            if before:
+                gone = routed.where("op = 'delete'").select(*keys).distinct()
+                had = spark.read.parquet(f"{root}/version={before[-1]}").join(gone, keys, "left_anti")
+                both = had.join(rows.withColumnRenamed("data", "newer"), keys, "full")
+                # cells that the batch writes replace those of the row before
+                kept = F.map_filter("data", lambda k, _: ~F.map_contains_key(F.coalesce("newer", F.create_map().cast("map<string,string>")), k))
+                cells = F.when(F.col("newer").isNull(), F.col("data")).when(F.col("data").isNull(), F.col("newer")).otherwise(F.map_concat(kept, "newer"))
+                rows = both.select(*keys, F.map_from_entries(F.array_sort(F.map_entries(cells))).alias("data"))
+            rows.write.mode("overwrite").parquet(f"{root}/version={batch}")
+        finally:
+            routed.unpersist()
+        for version in before[:-1]:
+            fs.delete(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/version={version}"), True)
 
     return write
 
