@@ -358,7 +358,7 @@ def jaccard_classes(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     rows = profile.count()
     own = profile.where("n > 0 and id is not null")
     # one node for each distinct set
-    nodes = work.table(own.groupBy("fp").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "nodes", rows)
+    nodes = work.table(own.groupBy("fp").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "nodes", 8 * rows)
     of_rows = work.table(profile.select("id", "h", "n", "fp"), "rows", rows)
     work.drop(profile)
     n_nodes = nodes.count()
