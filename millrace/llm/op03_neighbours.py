@@ -255,7 +255,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec
                 yield pa.RecordBatch.from_arrays([pa.array(group, pa.int64()), pa.array(leaves, pa.list_(pa.int64())), part.column(0), part.column(1)], ["grp", "leaves", "q", "vec"])
 
     index = classes.select("class", "ids", "vec").mapInArrow(place, f"grp long, leaf long, id long, ids array<long>, vec array<{kind}>").withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)))
-    queries = classes.where("wanted").select("class", "vec").mapInArrow(ask, f"grp long, leaves array<long>, q long, vec array<{kind}>").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).cast("long"))
+    queries = classes.where("wanted").select("class", "vec").mapInArrow(ask, f"grp long, leaves array<long>, q long, vec array<{kind}>").withColumn("part", F.expr(f"explode(sequence(0L, {parts - 1}L))"))
     best = queries.groupBy("grp", "part").cogroup(index.groupBy("grp", "part")).applyInArrow(_group_best(k + 1), "q long, id long, score double")
     found = best.groupBy("q").agg(F.slice(F.array_sort(F.collect_set(F.struct((-F.col("score")).alias("down"), "id"))), 1, k + 1).alias("near"))
     # each query of a class drops itself
