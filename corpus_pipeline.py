@@ -3,6 +3,13 @@
 ``STAGES`` lists (name, function); each function takes (spark, docs, sf_dir) and
 returns a DataFrame, which is written as Parquet and read again as the next
 one's docs. All but the last return the columns of documents.
+
+Edge cases, the same in all stages: an empty table gives an empty one; columns
+beyond those of documents pass through whatever their names, and the last stage's
+own columns get underscores in front where they clash; null and empty texts, null
+ids and very long texts are handled as the operators say, so rows without a text
+stay unless mixing leaves them out; repeated rows are judged alike, and one of
+them stays in near_duplicates, unless their id is null.
 """
 
 from __future__ import annotations
