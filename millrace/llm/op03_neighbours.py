@@ -190,8 +190,11 @@ def _group_best(keep: int):
         i, j = np.concatenate(found, axis=1)
         if not len(i):
             return pa.table({"q": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        exact = np.concatenate([cosines(q[i[lo : lo + 50_000]], x[j[lo : lo + 50_000]]) for lo in range(0, len(i), 50_000)])
+        # a group may hold a row in the leaves of several trees
         xid = right["id"].to_numpy()
+        once = np.unique(np.stack([i, xid[j]]), axis=1, return_index=True)[1]
+        i, j = i[once], j[once]
+        exact = np.concatenate([cosines(q[i[lo : lo + 50_000]], x[j[lo : lo + 50_000]]) for lo in range(0, len(i), 50_000)])
         order = np.lexsort((xid[j], -exact, i))
         i, j, exact = i[order], j[order], exact[order]
         first = np.flatnonzero(np.concatenate([[True], i[1:] != i[:-1]]))
