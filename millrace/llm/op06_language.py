@@ -196,12 +196,17 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     known = docs.where(F.col(lang_col).isNotNull() & F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)))
     order = F.struct((F.length(text_col) > TRAIN_CHARS).alias("long"), F.xxhash64(F.col(id_col).cast("string"), text_col).alias("h"))
     known = known.select(F.col(lang_col).alias("lang"), order.alias("o"), F.octet_length(text_col).alias("n"), F.col(text_col).alias("t"))
-    common = [r.lang for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
+    spark = docs.sparkSession
+    different = [F.approx_count_distinct(F.when(F.col("o.long") == long, F.col("o.h"))).alias(f"n{int(long)}") for long in (False, True)]
+    common = known.groupBy("lang").agg(F.count("*").alias("rows"), *different).orderBy(F.desc("rows"), "lang").limit(LANGUAGES).collect()
     if not common:
         return Parser({})
-    # the smallest of each task go on before the shuffle, so a language of many rows doesn't meet in one task
+    # by a bound on the hash some more rows come than are needed, however many a language has
+    bounds = [(r.lang, long, min(1.0, 4.0 * TRAIN_DOCS / max(n, 1))) for r in common for long, n in ((False, r.n0), (True, r.n1))]
+    bounds = F.broadcast(spark.createDataFrame(bounds, "lang string, long boolean, bound double"))
+    known = known.withColumn("long", F.col("o.long")).join(bounds, ["lang", "long"]).where(F.pmod("o.h", F.lit(1 << 32)) < F.col("bound") * float(1 << 32))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("o"))
-    first = known.where(F.col("lang").isin(common)).groupBy("lang", "o").agg(F.first("n").alias("n"))
+    first = known.groupBy("lang", "o").agg(F.first("n").alias("n"))
     wanted: dict[str, list] = {}
     for r in first.withColumn("r", rank).where(F.col("r") <= TRAIN_DOCS).select("lang", "o", "n").collect():
         wanted.setdefault(r.lang, []).append((r.o.long, r.o.h, r.n))
@@ -214,7 +219,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
             keys.append(h)
             total += n
     pieces: dict[str, dict[int, str]] = {}
-    sample = known.where(F.col("lang").isin(common)).join(F.broadcast(docs.sparkSession.createDataFrame([(k,) for k in keys], "k long")), F.col("o.h") == F.col("k"))
+    sample = known.join(F.broadcast(spark.createDataFrame([(k,) for k in keys], "k long")), F.col("o.h") == F.col("k"))
     for r in sample.groupBy("lang", "k").agg(F.first(F.substring("t", 1, TRAIN_BYTES)).alias("t")).collect():
         pieces.setdefault(r.lang, {})[r.k] = r.t
     texts = {}
