@@ -7,10 +7,16 @@ date filter on `cur_date` prunes partitions.
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
+from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+from urllib.parse import parse_qs, urlsplit
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# Names of the measures in the answers.
+AMOUNT_NAME, CHANNEL_NAME = "交易额", "渠道"
+
 
 def _day(spark: SparkSession, path: str, date: int) -> DataFrame:
     """Rows of one day, given as yyyyMMdd; 0 is today."""
@@ -41,9 +47,51 @@ def gmv_json(df: DataFrame) -> str:
 
 def province_json(df: DataFrame) -> str:
     rows = [{"name": r.province_name, "value": float(r.order_amount)} for r in df.orderBy("province_name").toLocalIterator()]
-    return json.dumps({"status": 0, "data": {"mapData": rows, "valueName": "order amount"}})
+    return json.dumps({"status": 0, "data": {"mapData": rows, "valueName": AMOUNT_NAME}}, ensure_ascii=False)
 
 
 def channel_json(df: DataFrame) -> str:
     rows = df.collect()  # at most `limit` rows
-    return json.dumps({"status": 0, "data": {"categories": [r.ch for r in rows], "series": [{"name": "unique visitors", "data": [int(r.uv_ct) for r in rows]}]}})
+    return json.dumps({"status": 0, "data": {"categories": [r.ch for r in rows], "series": [{"name": CHANNEL_NAME, "data": [int(r.uv_ct) for r in rows]}]}}, ensure_ascii=False)
+
+
+def routes(spark: SparkSession, provinces: str, traffic: str) -> Callable[[str], str | None]:
+    """What the service answers to a path: /gmv, /province and /ch, each with an optional
+    date (yyyyMMdd; today without one), /ch with a limit, too. Other paths have no answer."""
+
+    def answer(url: str) -> str | None:
+        parts = urlsplit(url)
+        given = {k: int(v[-1]) for k, v in parse_qs(parts.query).items() if k in ("date", "limit")}
+        date = given.get("date", 0)
+        if parts.path == "/gmv":
+            return gmv_json(gmv(spark, provinces, date))
+        if parts.path == "/province":
+            return province_json(province_amounts(spark, provinces, date))
+        if parts.path == "/ch":
+            return channel_json(top_channels(spark, traffic, date, given.get("limit", 10)))
+        return None
+
+    return answer
+
+
+def server(answer: Callable[[str], str | None], port: int = 8070, host: str = "127.0.0.1") -> ThreadingHTTPServer:
+    """An HTTP server of the routes; `serve_forever` runs it."""
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_GET(self) -> None:
+            try:
+                body, status = answer(self.path), 200
+            except ValueError:
+                body, status = None, 400
+            body, status = ("{}", 404 if status == 200 else status) if body is None else (body, status)
+            data = body.encode()
+            self.send_response(status)
+            self.send_header("Content-Type", "application/json; charset=utf-8")
+            self.send_header("Content-Length", str(len(data)))
+            self.end_headers()
+            self.wfile.write(data)
+
+        def log_message(self, *args) -> None:
+            pass
+
+    return ThreadingHTTPServer((host, port), Handler)
