@@ -15,6 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 CHUNK_BYTES = 500_000
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 # Odd 64-bit multipliers of the polynomial and of the k-gram mix.
 _P = 0x9E3779B97F4A7C15
@@ -153,7 +154,11 @@ def chunks(batch: pa.RecordBatch, text: str, most: int = CHUNK_BYTES) -> Iterato
 
 
 def map_texts(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, text: str = "text") -> DataFrame:
-    """mapInArrow over chunks bounded in bytes."""
+    """mapInArrow over chunks bounded in bytes.
+
+    A session that doesn't say how many rows an Arrow batch has gets 1000, for texts
+    are long; one that says so keeps its number.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -163,8 +168,8 @@ def map_texts(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], sch
                     yield out
 
     spark = df.sparkSession
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    if spark.conf.get(BATCH_ROWS, None) is None:
+        spark.conf.set(BATCH_ROWS, "1000")
     return df.mapInArrow(run, schema)
 
 
