@@ -69,7 +69,6 @@ TEMPLATES = [
     ("distributed under the boost software license version 1 0", "bsl-1.0"),
     ("this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software", "zlib"),
     ("this is free and unencumbered software released into the public domain", "unlicense"),
-    ("do what the fuck you want to public license", "wtfpl"),
 ]
 
 #: A tile of diagonals is at least so wide, or half as wide as the template is long.
