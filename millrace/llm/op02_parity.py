@@ -184,8 +184,8 @@ def fingerprint(g: np.ndarray, text: np.ndarray, size: np.ndarray) -> np.ndarray
         return mix(mix(sums[0]) * np.uint64(0x9E3779B97F4A7C15) + sums[1] + mix(size.astype(np.uint64))).view(np.int64)
 
 
-def _signatures(k: int, num: int, den: int, share: int = 1):
-    """Keys of texts, each different set once a task; of one in `share` of the sets."""
+def _signatures(k: int, num: int, den: int):
+    """Keys of texts, each different set once a task."""
     signed: set[int] = set()
 
     def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -197,7 +197,7 @@ def _signatures(k: int, num: int, den: int, share: int = 1):
             signed.clear()
         new = np.zeros(w.texts, bool)
         for i, x in enumerate(fp.tolist()):
-            if size[i] and x not in signed and x % share == 0:
+            if size[i] and x not in signed:
                 signed.add(x)
                 new[i] = True
         of_new = new[text]
@@ -328,7 +328,8 @@ def hot_keys(base: DataFrame, nodes: int, k: int, num: int, den: int) -> DataFra
     """(key, salts): keys that many nodes hold, by a sample, and into how many parts
     to deal them. The sample's size bounds the rows."""
     share = max(1, nodes // SAMPLE_NODES)
-    seen = map_texts(base.select("text"), _signatures(k, num, den, share), "key long, fp long").distinct().groupBy("key").agg(F.count("*").alias("n"))
+    sample = base.where(F.pmod(F.xxhash64("text"), F.lit(share)) == 0).select("text")
+    seen = map_texts(sample, _signatures(k, num, den), "key long, fp long").distinct().groupBy("key").agg(F.count("*").alias("n"))
     return seen.where(F.col("n") >= HOT_SAMPLES).select("key", F.ceil(F.col("n") * share / SALT_ROWS).cast("int").alias("salts")).where("salts > 1")
 
 
