@@ -13,8 +13,10 @@ the original vectors.
 
 Neighbouring leaves of a tree are dealt to tasks together, about `GROUP_ROWS`
 vectors at a time, and a query goes once to each such group that holds leaves of
-its. A leaf of more rows is dealt in parts, to each of which its queries go. So a
-task holds a bounded number of vectors at once at any size.
+its. A leaf of more rows is dealt in parts, to each of which its queries go; where
+more than about `QUERY_ROWS` queries are expected at a group, they are dealt in
+tiles, to each of which the group's rows go. So a task holds a bounded number of
+vectors at once at any size.
 
 Equal vectors are one class: the index holds a class once, with its smallest
 ids (k + 1, which is all that a query can need), and equal queries are searched
@@ -44,7 +46,7 @@ SAMPLE_ROWS = 20_000
 #: Distinct vectors up to which PROBES leaves are taken.
 PROBE_ROWS = 50_000
 #: Leaves of a tree, about, at most; rows of leaves that a task handles at once.
-LEAVES, GROUP_ROWS = 2_048, 4_096
+LEAVES, GROUP_ROWS, QUERY_ROWS = 2_048, 4_096, 50_000
 
 
 def probes_for(rows: int, probes: int = PROBES) -> int:
@@ -233,6 +235,8 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec
     forest = Forest(_unit(np.array([r.vec for r in sample], np.float64).reshape(len(sample), dim)) if sample else np.zeros((0, 1)), n, trees, rows_of_leaf)
     probes = probes_for(n, probes)
     together, parts = max(1, GROUP_ROWS // rows_of_leaf), -(-rows_of_leaf // GROUP_ROWS)
+    expected = classes.where("wanted").count() * min(1.0, probes * together / max(forest.leaves, 1))
+    tiles = max(1, int(-(-expected // QUERY_ROWS)))
     shared = spark.sparkContext.broadcast(forest)
 
     def place(batches):
@@ -257,9 +261,9 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec
                 part = batch.take(pa.array(row, pa.int64()))
                 yield pa.RecordBatch.from_arrays([pa.array(group, pa.int64()), pa.array(leaves, pa.list_(pa.int64())), part.column(0), part.column(1)], ["grp", "leaves", "q", "vec"])
 
-    index = classes.select("class", "ids", "vec").mapInArrow(place, f"grp long, leaf long, id long, ids array<long>, vec array<{kind}>").withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)))
-    queries = classes.where("wanted").select("class", "vec").mapInArrow(ask, f"grp long, leaves array<long>, q long, vec array<{kind}>").withColumn("part", F.expr(f"explode(sequence(0L, {parts - 1}L))"))
-    best = queries.groupBy("grp", "part").cogroup(index.groupBy("grp", "part")).applyInArrow(_group_best(k + 1), "q long, id long, score double")
+    index = classes.select("class", "ids", "vec").mapInArrow(place, f"grp long, leaf long, id long, ids array<long>, vec array<{kind}>").withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts))).withColumn("tile", F.expr(f"explode(sequence(0L, {tiles - 1}L))"))
+    queries = classes.where("wanted").select("class", "vec").mapInArrow(ask, f"grp long, leaves array<long>, q long, vec array<{kind}>").withColumn("part", F.expr(f"explode(sequence(0L, {parts - 1}L))")).withColumn("tile", F.pmod(F.xxhash64("q"), F.lit(tiles)))
+    best = queries.groupBy("grp", "part", "tile").cogroup(index.groupBy("grp", "part", "tile")).applyInArrow(_group_best(k + 1), "q long, id long, score double")
     found = best.groupBy("q").agg(F.slice(F.array_sort(F.collect_set(F.struct((-F.col("score")).alias("down"), "id"))), 1, k + 1).alias("near"))
     # each query of a class drops itself
     rest = F.slice(F.filter("near", lambda x: x["id"] != F.col("query_id")), 1, k)

@@ -164,6 +164,7 @@ def test_forest_recall_where_few_leaves_are_probed():
 
 def test_neighbours_equal_brute_force_where_all_leaves_are_probed(spark, monkeypatch):
     monkeypatch.setattr(op03_neighbours, "GROUP_ROWS", 16)
+    monkeypatch.setattr(op03_neighbours, "QUERY_ROWS", 4)
     rng = np.random.default_rng(8)
     x = rng.standard_normal((400, 8)) * 10.0 ** rng.integers(-180, 180, (400, 1))
     x[50:60] = x[40:50]
