@@ -54,3 +54,8 @@ def whole_days_between(later_ms: Column, earlier_ms: Column) -> Column:
 def today_partition() -> Column:
     """Today as the integer yyyyMMdd."""
     return F.date_format(F.current_date(), PARTITION).cast("int")
+
+
+def processing_time() -> Column:
+    """The time of the micro-batch or query that reads the row, for auditing; results don't hang on it."""
+    return F.current_timestamp()

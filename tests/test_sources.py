@@ -64,3 +64,10 @@ def test_service_routes(spark, tmp_path):
             assert e.value.code == code
     finally:
         server.shutdown()
+
+
+def test_processing_time_is_one_for_a_query(spark):
+    from millrace.functions.times import processing_time, today_partition
+
+    rows = spark.range(1000).select(processing_time().alias("at"), today_partition().alias("day")).distinct().collect()
+    assert len(rows) == 1 and rows[0].day // 10_000 >= 2024
