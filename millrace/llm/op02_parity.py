@@ -59,8 +59,9 @@ from .words import NOT_SPACE, Words, chunks, list_column, map_texts, mix, text_b
 
 HUB_SEEDS = 8
 BLOCK_BITS = 16
-#: Bits of a key; keys that fall together only propose more.
-KEY_BITS = 48
+#: Bits of a key; keys that fall together only propose more. Above them a hot key has
+#: its salt, and the bit HOT.
+KEY_BITS, MOST_SALTS, HOT = 48, 1 << 13, 1 << 62
 SAMPLE_NODES, HOT_SAMPLES, SALT_ROWS = 4_000, 20, 5_000
 TILE = 2_048
 FILTER_BITS = 1 << 27
@@ -330,7 +331,7 @@ def hot_keys(base: DataFrame, nodes: int, k: int, num: int, den: int) -> DataFra
     share = max(1, nodes // SAMPLE_NODES)
     sample = base.where(F.pmod(F.xxhash64("text"), F.lit(share)) == 0).select("text")
     seen = map_texts(sample, _signatures(k, num, den), "key long, fp long").distinct().groupBy("key").agg(F.count("*").alias("n"))
-    return seen.where(F.col("n") >= HOT_SAMPLES).select("key", F.ceil(F.col("n") * share / SALT_ROWS).cast("int").alias("salts")).where("salts > 1")
+    return seen.where(F.col("n") >= HOT_SAMPLES).select("key", F.least(F.ceil(F.col("n") * share / SALT_ROWS), F.lit(MOST_SALTS)).cast("int").alias("salts")).where("salts > 1")
 
 
 def buckets(work: Workspace, base: DataFrame, nodes: int, k: int, num: int, den: int) -> DataFrame:
@@ -338,12 +339,11 @@ def buckets(work: Workspace, base: DataFrame, nodes: int, k: int, num: int, den:
     sig = map_texts(base.select("text"), _signatures(k, num, den), "key long, fp long")
     if nodes > SALT_ROWS:
         hot = work.table(hot_keys(base, nodes, k, num, den), "hot")
-        sig = sig.join(F.broadcast(hot), "key", "left").withColumn("salt", F.when(F.col("salts").isNull(), 0).otherwise(F.pmod(F.xxhash64("fp"), F.col("salts")).cast("int")))
-    else:
-        sig = sig.withColumns({"salts": F.lit(None).cast("int"), "salt": F.lit(0)})
-    over = Window.partitionBy("key", "salt")
-    held = sig.select("key", "fp", F.col("salts").isNotNull().alias("hot"), F.min("fp").over(over).alias("low"), F.max("fp").over(over).alias("high"), F.bit_xor(F.xxhash64("fp")).over(over).alias("all")).where("hot or low < high")
-    return held.select(F.when(F.col("hot"), F.col("key")).otherwise(F.xxhash64("low", "high", "all")).alias("bucket"), "fp").distinct()
+        salted = F.col("key") + F.shiftleft(F.pmod(F.xxhash64("fp"), F.col("salts")), KEY_BITS) + F.lit(HOT)
+        sig = sig.join(F.broadcast(hot), "key", "left").select(F.when(F.col("salts").isNull(), F.col("key")).otherwise(salted).alias("key"), "fp")
+    over = Window.partitionBy("key")
+    held = sig.select("key", "fp", (F.col("key") >= HOT).alias("hot"), F.min("fp").over(over).alias("low"), F.max("fp").over(over).alias("high"), F.bit_xor(F.xxhash64("fp")).over(over).alias("all")).where("hot or low < high")
+    return held.select(F.when(F.col("hot"), F.col("key").bitwiseAND(F.lit((1 << KEY_BITS) - 1))).otherwise(F.xxhash64("low", "high", "all")).alias("bucket"), "fp").distinct()
 
 
 def jaccard_classes(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
